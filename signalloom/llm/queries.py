@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, neardup, packing, tokens
+from . import ann, htmltext, langid, lines, media, mixing, neardup, packing, tokens, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
@@ -39,13 +43,35 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs).select("doc_id", (langid.bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (langid.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_counts, op4_packing, op5_minhash_neardup, op8_mixing, op10_media)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_learned_partitions, op2_line_dedup, op3_token_counts, op4_packing, op5_minhash_neardup,
+        op6_language_id, op7_html_extraction, op8_mixing, op9_toxicity, op10_media,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
