@@ -11,16 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, picked, prepare, stored, unit_hash
 
 #: Vectors of the sample, neighbours in its graph, hidden units of the classifier.
 SAMPLE, DEGREE, HIDDEN = 4000, 10, 64
-#: Rows a part aims at (parts are a power of two up to MAX_PARTS), rows scored at once, share of parts probed.
-PART_ROWS, MAX_PARTS, BLOCK, PROBED = 2000, 256, 4096, 0.35
-TOP = 20
+#: Least and most parts (a power of two), rows a part aims at in between, rows scored at once.
+MIN_PARTS, MAX_PARTS, PART_ROWS, BLOCK = 16, 256, 20_000, 4096
+#: Neighbours told, and the share of the sample's own neighbours that the probed parts must hold.
+TOP, COVERAGE = 20, 0.95
 
 
 @dataclass
@@ -112,6 +113,25 @@ def fit(x: np.ndarray, parts: int, seed: int = 3, epochs: int = 40) -> Router:
     return Router(mean.astype(np.float64), scale, w1, b1, w2, b2)
 
 
+def probes_needed(router: Router, x: np.ndarray, top: int = TOP, coverage: float = COVERAGE) -> int:
+    """Fewest parts, most probable first, that hold `coverage` of the `top` neighbours of the sample's rows
+    among the sample. Neighbours among all rows are nearer still, so the true share is rather higher."""
+    z = router.logits(x)
+    parts = z.shape[1]
+    own = z.argmax(1)
+    rank = np.empty_like(z, dtype=np.int64)
+    np.put_along_axis(rank, np.argsort(-z, axis=1, kind="stable"), np.arange(parts)[None], axis=1)
+    asked = np.arange(0, len(x), max(1, len(x) // 1000))
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    k = min(top, len(x) - 1)
+    if k < 1:
+        return parts
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    found = rank[asked[:, None], own[near]]
+    return int(np.quantile(found, coverage, method="higher")) + 1
+
+
 def usable(vector) -> F.Column:
     """Not null, without null or non-finite components, not all zero."""
     v = F.col(vector) if isinstance(vector, str) else vector
@@ -123,15 +143,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, part_rows: int = PART_ROWS, probed: float = PROBED) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, part_rows: int = PART_ROWS, coverage: float = COVERAGE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the `top` others of largest
     inner product found, ties to the smaller id; fewer only if there are fewer candidates.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
-    length than the commonest (the shorter of equally common ones), nor rows with a null id. Rows that share an id are
-    candidates each, but never for their own id. All rows are indexed, each in its most probable part; a
-    part is cut into blocks of about BLOCK rows by a hash, so a third of all rows in one part is many tasks. A block
-    keeps its `top` best for each query. Only the sample of a fixed number of vectors reaches the driver.
+    length than the commonest (the shorter of equally common ones), nor rows with a null id. Of rows that share
+    id and vector one asks; rows are never candidates for their own id. All rows are indexed, each in its
+    most probable part; a part is cut into blocks of about BLOCK rows by a hash, so a third of all rows in
+    one part is many tasks. A block answers a query in one row of its `top` best. Queries probe as many
+    parts as the sample shows to be needed for `coverage`, and more if those hold few rows. Only the
+    sample, of a fixed number of vectors, and a count for each part reach the driver.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -142,44 +164,72 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, id_col: str = "
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == sizes["d"])
-    n = sizes["count"]
-    parts = 4
-    while parts < MAX_PARTS and parts * part_rows < n and parts * 32 < sample:
+    parts = MIN_PARTS
+    while parts < MAX_PARTS and parts * part_rows < sizes["count"]:
         parts *= 2
     order = unit_hash(F.col("vec_id"), F.lit("sample"))
     drawn = rows.select("vec_id", "v", order.alias("u")).orderBy("u", "vec_id", "v").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    router = fit(_matrix(drawn), parts)
-    probes = max(2, round(parts * probed))
+    x = _matrix(drawn)
+    router = fit(x, parts)
+    probes = probes_needed(router, x, top, coverage)
 
     def routed(b: pa.RecordBatch) -> dict:
         z = router.logits(_matrix(b.column("v")))
         best = np.argsort(-z, axis=1, kind="stable")
         ids = b.column("vec_id").to_pylist()
-        return {"vec_id": ids, "v": b.column("v"), "part": best[:, 0], "probes": [p[:probes].tolist() if i % every == 0 else None for p, i in zip(best, ids, strict=True)]}
-
-    placed = stored(arrow_map(rows, routed, "vec_id long, v array<double>, part int, probes array<int>"), "placed")
-    filled = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MAX_PARTS rows at most
-    data = placed.join(F.broadcast(filled), "part").select("part", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "vec_id", "v")
-    asked = placed.where("probes is not null").dropDuplicates(["vec_id", "v"])
-    # queries whose parts hold too few rows are served by further parts: their probes grow in order
-    asked = asked.select("vec_id", "v", F.explode("probes").alias("part")).join(F.broadcast(filled), "part")
-    asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "vec_id", "v")
+        return {"vec_id": ids, "v": b.column("v"), "part": best[:, 0], "ranked": [p.tolist() if i % every == 0 else None for p, i in zip(best, ids, strict=True)]}
+
+    placed = stored(arrow_map(rows, routed, "vec_id long, v array<double>, part int, ranked array<int>"), "placed")
+    filled = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # MAX_PARTS numbers at most
+    blocks = {p: -(-n // BLOCK) for p, n in filled.items()}
+
+    def places(b: pa.RecordBatch) -> dict:
+        """The blocks that each query visits: its probed parts, and further ones until they hold 4 x top rows."""
+        out = {k: [] for k in ("part", "block", "at")}
+        for i, ranked in enumerate(b.column("ranked").to_pylist()):
+            seen = 0
+            for k, part in enumerate(ranked):
+                if k >= probes and seen >= 4 * top:
+                    break
+                seen += filled.get(part, 0)
+                for block in range(blocks.get(part, 0)):
+                    for name, value in zip(out, (part, block, i), strict=True):
+                        out[name].append(value)
+        at = pa.array(out["at"], pa.int64())
+        return {"part": out["part"], "block": out["block"], "role": [0] * len(at), "vec_id": b.column("vec_id").take(at), "v": b.column("v").take(at)}
+
+    spec = "part int, block int, role int, vec_id long, v array<double>"
+    asked = arrow_map(placed.where("ranked is not null").dropDuplicates(["vec_id", "v"]), places, spec)
+    cuts = F.create_map(*[F.lit(x) for p, n in blocks.items() for x in (p, n)])
+    data = placed.select("part", F.pmod(F.xxhash64("vec_id", "v"), cuts[F.col("part")]).cast("int").alias("block"), F.lit(1).alias("role"), "vec_id", "v")
     met = asked.unionByName(data).repartition("part", "block").sortWithinPartitions("part", "block", "role", "vec_id")
-    hits = met.mapInArrow(_rerank(top), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
-    if n <= top * 8 * max(1, sample // 100):  # so few rows that the probed parts may hold under `top`: ask them all
-        return _small(placed, every, top)
-    return best
+    hits = met.mapInArrow(_rerank(top), "query_id long, ids array<long>, scores array<double>")
+    return hits.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(top), schema)
+
+
+def _merged(top: int):
+    """Streams the answers of blocks by query and ranks them together."""
+
+    def run(batches):
+        now, ids, scores = None, [], []
 
+        def done():
+            i, s = np.concatenate(ids), np.concatenate(scores)
+            order = np.lexsort((i, -s))[:top]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(order), pa.int64()), pa.array(range(1, len(order) + 1), pa.int32()), pa.array(i[order], pa.int64()), pa.array(s[order], pa.float64())], ["query_id", "rank", "vec_id", "score"])
 
-def _small(placed: DataFrame, every: int, top: int) -> DataFrame:
-    asked = placed.where("probes is not null").dropDuplicates(["vec_id", "v"])
-    met = asked.select(F.lit(0).alias("part"), F.lit(0).alias("block"), F.lit(0).alias("role"), "vec_id", "v").unionByName(placed.select(F.lit(0).alias("part"), F.lit(0).alias("block"), F.lit(1).alias("role"), "vec_id", "v"))
-    met = met.repartition("part", "block").sortWithinPartitions("part", "block", "role", "vec_id")
-    hits = met.mapInArrow(_rerank(top), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        for b in batches:
+            for query, i, s in zip(*(b.column(c).to_pylist() for c in ("query_id", "ids", "scores")), strict=True):
+                if query != now:
+                    if ids:
+                        yield done()
+                    now, ids, scores = query, [], []
+                ids.append(np.array(i, np.int64))
+                scores.append(np.array(s, np.float64))
+        if ids:
+            yield done()
+
+    return run
 
 
 def _rerank(top: int):
@@ -197,9 +247,10 @@ def _rerank(top: int):
                 at = np.flatnonzero((s >= floor - slack) & (s > -np.inf))
                 exact = (x[at] * q[a + i]).sum(1)  # the same sum for equal vectors, wherever they stand
                 order = np.lexsort((ids[at], -exact))[:k]
-                out[0].extend([int(q_ids[a + i])] * len(order))
-                out[1].extend(ids[at][order].tolist())
-                out[2].extend(exact[order].tolist())
+                if len(order):
+                    out[0].append(int(q_ids[a + i]))
+                    out[1].append(ids[at][order])
+                    out[2].append(exact[order])
         return out
 
     def run(batches):
@@ -208,7 +259,7 @@ def _rerank(top: int):
         def done():
             if queries[0] and rows[0]:
                 got = best(np.array(queries[0]), np.array(queries[1]), np.array(rows[0]), np.array(rows[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.list_(pa.int64())), pa.array(got[2], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
         for b in batches:
             for part, block, role, vec_id, v in zip(*(b.column(c).to_pylist() for c in ("part", "block", "role", "vec_id", "v")), strict=True):
