@@ -86,10 +86,10 @@ class Scorer:
         new = list({w: None for words in split for w in words if w not in self.place})
         if new:
             b, owner = subwords(new, len(self.model.weights))
-            cells = np.concatenate([self.model.weights[b], np.ones((len(b), 1))], 1)
-            starts = np.searchsorted(owner, np.arange(len(new)))
+            columns = [self.model.weights[b, k] for k in range(self.model.weights.shape[1])] + [None]
+            cells = np.stack([np.bincount(owner, c, len(new)) for c in columns], 1)
             self.place |= dict(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.add.reduceat(cells, starts, axis=0)])
+            self.rows = np.concatenate([self.rows, cells])
         out = np.zeros((len(texts), self.model.weights.shape[1]))
         for i, words in enumerate(split):
             if words:
