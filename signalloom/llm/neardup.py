@@ -28,7 +28,7 @@ from .components import connected_components
 SHINGLE = 5
 SYMBOL_BITS = 16
 #: Spokes that are checked beside one copy of their hub; members of a key compared in one block.
-SPOKES, BLOCK = 256, 1024
+SPOKES, BLOCK = 256, 512
 
 
 @dataclass(frozen=True)
@@ -104,8 +104,8 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def signatures(sets: list[np.ndarray], p: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols uint16 [sets, K], keys int64 [sets, number of keys]) of non-empty sets."""
+def signatures(sets: list[np.ndarray], p: Plan) -> np.ndarray:
+    """Symbols uint16 [sets, K] of non-empty sets."""
     k = np.arange(p.symbols, dtype=np.uint64)
     with np.errstate(over="ignore"):
         mul, add = mix64(k + np.uint64(11)) | np.uint64(1), mix64(k + np.uint64(1 << 20))
@@ -114,17 +114,29 @@ def signatures(sets: list[np.ndarray], p: Plan) -> tuple[np.ndarray, np.ndarray]
         low = np.empty((len(sets), p.symbols), np.uint64)
         for i in range(p.symbols):
             low[:, i] = np.minimum.reduceat(x * mul[i] + add[i], starts)
-        symbols = mix64(low) & np.uint64((1 << SYMBOL_BITS) - 1)
-        parts = symbols.reshape(len(sets), p.chunks, p.chunk)
+        return (mix64(low) & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.uint16)
+
+
+def index_keys(symbols: np.ndarray, p: Plan) -> np.ndarray:
+    """Keys int64 [sets, slots]: a slot is a choice of error places (outer) and a chunk (inner)."""
+    with np.errstate(over="ignore"):
+        parts = symbols.astype(np.uint64).reshape(-1, p.chunks, p.chunk)
         base = mix64(np.arange(p.chunks, dtype=np.uint64) + np.uint64(101))
         keys = []
         for j, wrong in enumerate(itertools.combinations(range(p.chunk), p.errors)):
-            key = np.broadcast_to(base + np.uint64(j), (len(sets), p.chunks)).copy()
+            key = np.broadcast_to(base + np.uint64(j), parts.shape[:2]).copy()
             for i in range(p.chunk):
                 if i not in wrong:
                     key = mix64((key ^ parts[:, :, i]) + np.uint64(0x9E3779B97F4A7C15))
             keys.append(key)
-    return symbols.astype(np.uint16), np.concatenate(keys, 1).view(np.int64)
+    return np.concatenate(keys, 1).view(np.int64)
+
+
+def first_slots(a: np.ndarray, b: np.ndarray, p: Plan) -> np.ndarray:
+    """The first slot in which each row of symbols b has the same key as a."""
+    same = (a == b).reshape(len(b), p.chunks, p.chunk)
+    slots = [np.delete(same, wrong, axis=2).all(2) for wrong in itertools.combinations(range(p.chunk), p.errors)]
+    return np.concatenate(slots, 1).argmax(1)
 
 
 def _fingerprint(p: Plan):
@@ -139,12 +151,24 @@ def _fingerprint(p: Plan):
                 at.append(i)
                 sizes[i] = len(s)
                 classes[i] = hashlib.md5(b" ".join(words)).digest()
-        sigs, keys = [None] * b.num_rows, [None] * b.num_rows
+        sigs = [None] * b.num_rows
         if sets:
-            symbols, found = signatures(sets, p)
-            for j, i in enumerate(at):
-                sigs[i], keys[i] = symbols[j].tobytes(), found[j]
-        return {"doc_id": b.column("doc_id"), "cls": classes, "n_shingles": sizes, "sig": sigs, "keys": keys}
+            for i, symbols in zip(at, signatures(sets, p), strict=True):
+                sigs[i] = symbols.tobytes()
+        return {"doc_id": b.column("doc_id"), "cls": classes, "n_shingles": sizes, "sig": sigs}
+
+    return rows
+
+
+def _symbols(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), -1)
+
+
+def _keyed(p: Plan):
+    def rows(b: pa.RecordBatch) -> dict:
+        keys = index_keys(_symbols(b.column("sig").to_pylist()), p)
+        node = b.column("node").to_numpy(zero_copy_only=False)
+        return {"node": np.repeat(node, keys.shape[1]), "key": keys.ravel(), "slot": np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))}
 
     return rows
 
@@ -204,42 +228,87 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _cross(p: Plan):
-    """Within each (key, block pair): pairs of different components within the distance and size limits."""
-
-    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        node = np.array([r[0] for r in rows], np.int64)
-        comp = np.array([r[1] for r in rows], np.int64)
-        size = np.array([r[2] for r in rows], np.int64)
-        side = np.array([r[4] for r in rows], np.int8)
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
-        u, v = [], []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            ok = (comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= p.percent * np.maximum(size[j], size[i]))
-            if rows[0][5]:  # two different blocks: only pairs across them
-                ok &= side[j] != side[i]
-            j = j[ok]
-            if len(j):
-                j = j[(sig[j] != sig[i]).sum(1) <= p.limit]
-                u += [int(node[i])] * len(j)
-                v += node[j].tolist()
-        return u, v
+MEMBER = "key long, slot int, lo int, hi int, side int, node long, comp long, n_shingles long, sig binary"
+_KEYS = [x.split()[0] for x in MEMBER.split(", ")]
+
+
+def _candidates(rows: list[tuple], p: Plan):
+    """For each member i of a (key, block pair): i and the later members that it must be compared with here.
+
+    They lie in another component and, in a pair of different blocks, in the other block; sizes and
+    signature distance allow the similarity; and this key is the first one that the two share.
+    """
+    slot, apart = rows[0][1], rows[0][2] != rows[0][3]
+    side, comp, size = (np.array([r[i] for r in rows], np.int64) for i in (4, 6, 7))
+    sig = _symbols([r[8] for r in rows])
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, len(rows))
+        ok = (comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= p.percent * np.maximum(size[j], size[i]))
+        if apart:
+            ok &= side[j] != side[i]
+        j = j[ok]
+        j = j[(sig[j] != sig[i]).sum(1) <= p.limit] if len(j) else j
+        j = j[first_slots(sig[i], sig[j], p) == slot] if len(j) else j
+        if len(j):
+            yield i, j
+
+
+def _groups(batches, names: list[str]):
+    """Rows of each (key, lo, hi) in turn, from rows sorted by these."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            at = (row[0], row[2], row[3])
+            if at != now:
+                if rows:
+                    yield rows
+                now, rows = at, []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _active(p: Plan):
+    """The members of each (key, block pair) that have anything to be compared with: at most the rows read."""
 
     def run(batches):
-        now, rows = None, []
-        for b in batches:
+        for rows in _groups(batches, _KEYS):
+            live = sorted({int(k) for i, j in _candidates(rows, p) for k in (i, *j)})
+            if live:
+                yield pa.RecordBatch.from_pylist([dict(zip(_KEYS, rows[i], strict=True)) for i in live], schema=_SCHEMA)
+
+    return run
+
+
+_SCHEMA = pa.schema([("key", pa.int64()), ("slot", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("comp", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+
+
+def _forest(p: Plan):
+    """Compares the full sets of a group's members in place, and tells only links that join components: fewer than members."""
+
+    def run(batches):
+        for rows in _groups(batches, [*_KEYS, "text"]):
+            sets = [shingle_set(words_of(r[9] or "")) for r in rows]
+            root: dict[int, int] = {}
+
+            def find(x, root=root):
+                while (y := root.get(x, x)) != x:
+                    root[x] = root.get(y, y)
+                    x = y
+                return x
+
             u, v = [], []
-            for key, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "node", "comp", "n_shingles", "sig", "side")), strict=True):
-                if (key, lo, hi) != now:
-                    for out, x in zip((u, v), pairs(rows) if rows else ((), ()), strict=True):
-                        out += x
-                    now, rows = (key, lo, hi), []
-                rows.append((*row, lo != hi))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["hub", "node"])
-        if rows:
-            u, v = pairs(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["hub", "node"])
+            for i, others in _candidates(rows, p):
+                for j in others.tolist():
+                    a, b = find(rows[i][6]), find(rows[j][6])
+                    if a == b:
+                        continue
+                    both = _common(sets[i], sets[j])
+                    if both and 100 * both >= p.percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(a, b)] = min(a, b)
+                        u.append(rows[i][5])
+                        v.append(rows[j][5])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -251,7 +320,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     for it; (2) keys shared by two or more classes survive a counted, pre-aggregated join; (3) in every
     key the members are compared with the one that most other texts share keys with (a hub), and linked
     if their full sets agree; (4) keys whose members lie in different components after that are
-    searched fully, in blocks of bounded size, so no link between different texts is lost; (5) components.
+    searched fully, in blocks of bounded size that carry the texts and tell only links between
+    components, so no such link is lost and no pairs are listed; (5) components.
 
     Null or blank texts have n_shingles 0 and stay alone. Rows that share an id are one document. A row
     with a null id gets the smallest id of its class's component, or null, and is kept only if that is
@@ -261,36 +331,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     prepare(spark)
     p = p or plan(percent)
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marks = stored(arrow_map(docs, _fingerprint(p), "doc_id long, cls binary, n_shingles long, sig binary, keys array<long>"), "marks")
-    ids = marks.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("node"))
-    ids = stored(ids, "classes")
-    reps = marks.where("cls is not null and doc_id is not null").join(ids.where("node is not null").select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
-    reps = stored(reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "keys"), "reps")
-    keyed = reps.select("node", F.explode("keys").alias("key"))
+    marks = stored(arrow_map(docs, _fingerprint(p), "doc_id long, cls binary, n_shingles long, sig binary"), "marks")
+    ids = stored(marks.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("node")), "classes")
+    nodes = ids.where("node is not null").select("node").distinct()
+    reps = marks.where("cls is not null and doc_id is not null").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    reps = stored(reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig").distinct(), "reps")
+    keyed = arrow_map(reps, _keyed(p), "node long, key long, slot int")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n")
-    members = stored(keyed.join(counts, "key").distinct(), "members")
+    members = stored(keyed.join(counts, "key"), "members")
     popular = members.groupBy("node").agg(F.sum("n").alias("fame"))
     ranked = members.join(popular, "node").select("key", "node", F.struct("fame", (-F.col("node")).alias("low")).alias("r"))
     hubs = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.low")).alias("hub"))
-    size = reps.select(F.col("node").alias("of"), "n_shingles")
+    size = reps.groupBy("node").agg(F.min("n_shingles").alias("x"), F.max("n_shingles").alias("y"))
     pairs = members.join(hubs, "key").where("hub <> node").select("hub", "node").distinct()
-    pairs = pairs.join(size.select(F.col("of").alias("hub"), F.col("n_shingles").alias("x")), "hub").join(size.select(F.col("of").alias("node"), F.col("n_shingles").alias("y")), "node")
-    pairs = stored(pairs.where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("hub", "node").distinct(), "stars")
+    pairs = pairs.join(size.select(F.col("node").alias("hub"), F.col("x").alias("hx"), F.col("y").alias("hy")), "hub").join(size, "node")
+    pairs = pairs.where((100 * F.col("y") >= percent * F.col("hx")) & (100 * F.col("hy") >= percent * F.col("x"))).select("hub", "node")
     links = _confirm(pairs, docs, percent)
     comp = stored(connected_components(links), "stars_of")
 
-    placed = members.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(comp, "node", "left").select("key", "slot", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = placed.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.select("key", "node", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("key", "node", "comp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") < F.col("other")).cast("int").alias("side"))
-    rest = rest.join(reps.select("node", "n_shingles", "sig").dropDuplicates(["node"]), "node")
-    rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    cross = rest.mapInArrow(_cross(p), "hub long, node long")
-    cross = cross.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-    cross = stored(cross.join(pairs, ["hub", "node"], "left_anti").join(pairs.select(F.col("hub").alias("node"), F.col("node").alias("hub")), ["hub", "node"], "left_anti"), "cross")
-    more = _confirm(cross, docs, percent)
+    rest = rest.select("key", "slot", "node", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = (F.col("mine") < F.col("other")).cast("int").alias("side")
+    rest = rest.select("key", "slot", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side, "node", "comp").join(reps, "node").select(*_KEYS)
+    dealt = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    active = stored(dealt.mapInArrow(_active(p), MEMBER), "active")
+    texts = _texts_of(docs, stored(active.select("node").distinct(), "nodes"))
+    full = active.join(texts, "node").select(*_KEYS, "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    more = stored(full.mapInArrow(_forest(p), "u long, v long"), "more")
     if not more.isEmpty():
         comp = stored(connected_components(links.unionByName(more)), "components")
 
