@@ -349,8 +349,8 @@ def min_covered_intersection(spark, sf):
     return regions.min_covered(d.tracks(spark, sf), "track", {str(i): 30 + i for i in range(5)})[1]
 
 
-@query(f"""WITH {d.TRACK_F}, {d.FEATURES}, {d.islands_sql('g', 'f', 'cov >= 60')} SELECT CAST(q.feature_id AS VARCHAR) AS name, CAST(coalesce(sum(least(g.end1, q.end0 + 1) - greatest(g.start1, q.start0 + 1)), 0) AS BIGINT) AS covered,
-round(coalesce(sum(least(g.end1, q.end0 + 1) - greatest(g.start1, q.start0 + 1)), 0) / any_value(q.end0 - q.start0)::DOUBLE, 6) AS share
+@query(f"""WITH {d.TRACK_F}, {d.FEATURES}, {d.islands_sql('g', 'f', 'cov >= 60')} SELECT CAST(q.feature_id AS VARCHAR) AS name, CAST(coalesce(sum(least(g.end1, q.end0 + 1) - greatest(g.start1, q.start0 + 1)) FILTER (g.ref IS NOT NULL), 0) AS BIGINT) AS covered,
+round(coalesce(sum(least(g.end1, q.end0 + 1) - greatest(g.start1, q.start0 + 1)) FILTER (g.ref IS NOT NULL), 0) / any_value(q.end0 - q.start0)::DOUBLE, 6) AS share
 FROM features q LEFT JOIN g ON g.ref = q.ref AND g.start1 < q.end0 + 1 AND g.end1 > q.start0 + 1 GROUP BY q.feature_id""")
 def scope_overlap(spark, sf):
     scope = d.features(spark, sf).select("ref", "start0", "end0", F.col("feature_id").cast("string").alias("name"))
