@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import langid, lines, mixing, neardup, packing
-from signalloom.llm.common import stored, table
+from signalloom.llm.common import index_of, stored, table, unclashed
 from signalloom.llm.queries import split_pattern, tokenizer
 
 #: Similarity of near-duplicates on five-word shingles, in percent.
@@ -19,15 +19,19 @@ SIMILAR = 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go: those without a letter, and the few below its threshold."""
-    return langid.identified(docs).where(~F.col("rejected")).drop("lang_pred", "score", "rejected")
+    n = len(docs.columns)
+    flat = unclashed(langid.identified(docs))  # the columns of docs, then lang_pred, score, rejected
+    return flat.where(~F.col(f"_c{n + 2}")).select(flat.columns[:n]).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that stand earlier in the corpus are cut out of the texts; every document stays."""
-    out = lines.dedup_lines(docs)
+    n, text = len(docs.columns), f"_c{index_of(docs, 'text')}"
+    flat = unclashed(lines.dedup_lines(docs))  # the columns of docs, then n_lines, n_deleted
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("n_lines", "n_deleted")
+        size = f"_c{index_of(docs, 'n_chars')}"
+        flat = flat.withColumn(size, F.when(F.col(f"_c{n + 1}") > 0, F.length(text).cast("long")).otherwise(F.col(size)))
+    return flat.select(flat.columns[:n]).toDF(*docs.columns)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
