@@ -19,7 +19,7 @@ BUCKETS, NGRAMS, DIM = 1 << 13, (1, 2, 3, 4), 16
 PER_LANGUAGE, SAMPLE, HOLD = 400, 2400, 5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 
 
 def has_letter(text: str | None) -> bool:
@@ -156,10 +156,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     in the order of a hash, at most per_language of each language and sample in all. Features are computed
     where the texts are. None if there is no such document."""
     rows = picked(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (bucket(F.col("doc_id"), 4) != 2))
     order = unit_hash(F.col("doc_id"), F.lit("langid"))
     w = Window.partitionBy("lang").orderBy("u", "doc_id")
-    chosen = rows.select("doc_id", "lang", order.alias("u")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
+    # what lies far beyond the bound in hash order is left out before languages are ranked; `sample` rows are broadcast
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).withColumnRenamed("lang", "_lang")
+    near = rows.withColumn("u", order).join(F.broadcast(often), F.col("lang") == F.col("_lang")).where(F.col("u") * F.col("count") <= 4 * per_language + 100)
+    chosen = near.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "u").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
     chosen = chosen.orderBy("n", "u", "lang", "doc_id").limit(sample).select(F.col("doc_id").alias("chosen")).distinct()
     found = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["chosen"], "left_semi")  # `sample` ids at most
 
@@ -168,15 +171,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         at = [np.flatnonzero(v) for v in full]
         return {"doc_id": b.column("doc_id"), "lang": b.column("lang"), "at": [a.astype(np.int32) for a in at], "value": [v[a] for v, a in zip(full, at, strict=True)]}
 
-    got = arrow_map(found, vectors, "doc_id long, lang string, at array<int>, value array<float>").toArrow().to_pylist()
-    if not got:
+    got = arrow_map(found, vectors, "doc_id long, lang string, at array<int>, value array<float>").toArrow().combine_chunks()
+    if not got.num_rows:
         return None
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["lang"]))
-    languages = sorted({r["lang"] for r in got})
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        x[i, r["at"]] = r["value"]
-    return fit(x, np.array([languages.index(r["lang"]) for r in got]), languages)
+    keys, langs = got.column("doc_id").to_pylist(), got.column("lang").to_pylist()
+    order_ = sorted(range(len(keys)), key=lambda i: (zlib.crc32(str(keys[i]).encode()), keys[i], langs[i]))
+    languages = sorted(set(langs))
+    at, value = (got.column(c).combine_chunks() for c in ("at", "value"))
+    x = np.zeros((len(keys), BUCKETS), np.float32)
+    for row, i in enumerate(order_):
+        x[row, at[i].values.to_numpy()] = value[i].values.to_numpy()
+    return fit(x, np.array([languages.index(langs[i]) for i in order_]), languages)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

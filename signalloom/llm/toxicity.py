@@ -20,7 +20,7 @@ STEMS = (4, 6)
 #: Bounds of the labelled sample: documents of either label, and words of a document in it.
 PER_LABEL, MAX_WORDS, HOLD = 2000, 4000, 5
 STRIP = ".,;:!?%&*$#|\"'()[]{}<>-_=+/\\~^`@…«»“”‘’¿¡"
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 100_000
 
 
 def buckets_of(word: str) -> list[int]:
