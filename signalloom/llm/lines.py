@@ -81,13 +81,13 @@ def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_
     docs = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     marks = stored(arrow_map(docs, _marks(run), "doc_id long, th long, lines array<long>, at array<int>, prints array<long>"), "marks").where(F.size("at") > 0)
     spots = marks.select("doc_id", "th", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("doc_id", "th", F.col("x.at").alias("at"), F.col("x.prints").alias("print"))
-    twice = spots.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    twice = stored(spots.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "twice")  # a table, so a hot print can be split
     hits = spots.join(twice, "print", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("at").alias("hits"))
     near = marks.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "lines")
     near = near.join(hits, near["doc_id"].eqNullSafe(hits["doc_id"]) & (near["th"] == hits["th"])).select(near["doc_id"], near["th"], "lines", "hits")
     windows = stored(arrow_map(near, _around(run), "gram long, doc_id long, th long, start long"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "start")
-    first = windows.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first")
+    first = stored(windows.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first"), "first")
     later = windows.join(first, "gram").where(place > F.col("first"))
     return later.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
 
@@ -112,7 +112,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     flat = unclashed(docs)
     i, t = index_of(docs, id_col), index_of(docs, text_col)
     mine = flat.withColumn("_hash", F.xxhash64(f"_c{t}"))
-    both = mine.join(runs, mine[f"_c{i}"].cast("long").eqNullSafe(runs["_id"]) & (mine["_hash"] == runs["_th"]), "left").drop("_id", "_th", "_hash")
+    # texts are shuffled once at every size: runs grow with the corpus and are not to be broadcast
+    both = mine.join(runs.hint("merge"), mine[f"_c{i}"].cast("long").eqNullSafe(runs["_id"]) & (mine["_hash"] == runs["_th"]), "left").drop("_id", "_th", "_hash")
     return _rewritten(both, f"_c{t}", run, docs.columns)
 
 
