@@ -38,8 +38,10 @@ nav|navbar|navigation|menus?|menubar|breadcrumbs?|pagination|pager|toc|sidebars?
 cookies?|consent|gdpr|notices?|notification|alerts?|popups?|modals?|overlay|paywall|newsletter|subscribe|subscription|signup|login|
 share|sharing|social|follow|related|recommended|recommendations|recirculation|outbrain|taboola|
 comments?|commentlist|disqus|respond|replies|reply|discussion|
-footer|foot|masthead|toolbar|topbar|skip|hidden|print|copyright|legal|disclaimer"""
+footer|foot|masthead|toolbar|topbar|hidden|copyright|disclaimer"""
 _BAD = re.compile(rf"(?:^|[\s_\-])(?:{_NAMES.replace(chr(10), '')})(?=$|[\s_\-\d])", re.I)
+_HEADER = re.compile(r"(?:^|[\s_\-])header(?=$|[\s_\-\d])", re.I)
+_OWN_HEADER = re.compile(r"article|entry|post|content|story", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
@@ -56,8 +58,10 @@ def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and _BAD.search(_CAMEL.sub("-", html.unescape(value))):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+            words = _CAMEL.sub("-", html.unescape(value))
+            if _BAD.search(words) or not inside_article and _HEADER.search(words) and not _OWN_HEADER.search(words):
+                return True
         if name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):

@@ -147,8 +147,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5, epoch
 
 
 def bucket(doc_id, parts: int) -> F.Column:
-    """crc32 of the id's text, mod parts."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+    """crc32 of the id's text, mod parts; -1 for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> LanguageModel | None:
