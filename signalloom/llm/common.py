@@ -22,6 +22,8 @@ BROADCAST_KEYS = 200_000
 def prepare(spark: SparkSession) -> None:
     """Bounds Arrow batches and makes this package importable on executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # shuffles are read in tasks of the advised size, not in as many as there are cores: fewer, fuller files
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     except Exception as e:  # an older Spark without this setting
@@ -51,9 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
+#: Rows of a file, where a table's rows are counted or bounded before it is written.
+FILE_ROWS = 200_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing.
+    If `rows`, a bound of its rows, is known, no more files are written than they fill."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/signalloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

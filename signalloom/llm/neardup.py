@@ -73,7 +73,7 @@ class _Hashes(dict):
     """64-bit word hashes, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -168,7 +168,8 @@ def _keyed(p: Plan):
     def rows(b: pa.RecordBatch) -> dict:
         keys = index_keys(_symbols(b.column("sig").to_pylist()), p)
         node = b.column("node").to_numpy(zero_copy_only=False)
-        return {"node": np.repeat(node, keys.shape[1]), "key": keys.ravel(), "slot": np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))}
+        size = b.column("n_shingles").to_numpy(zero_copy_only=False)
+        return {"node": np.repeat(node, keys.shape[1]), "size": np.repeat(size, keys.shape[1]), "key": keys.ravel(), "slot": np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))}
 
     return rows
 
@@ -186,10 +187,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     A hub's spokes are dealt out in parts of about SPOKES rows, each beside one copy of the hub's text,
     and stream past it, so a hub with any number of spokes neither meets in one task nor multiplies its text.
     """
+    pairs = stored(pairs, "candidates")
     degree = pairs.groupBy("hub").count()
     salted = pairs.join(degree, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / SPOKES)).cast("int"))
     salted = stored(salted.select("hub", "salt", "node"), "pairs")
-    nodes = stored(salted.select(F.col("hub").alias("node")).unionByName(salted.select("node")).distinct(), "nodes")
+    nodes = stored(salted.select(F.col("hub").alias("node")).unionByName(salted.select("node")).distinct(), "nodes", 2 * salted.count())
     texts = stored(_texts_of(docs, nodes), "texts")
     hubs = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("node"), "text")
     spokes = salted.join(texts, "node").select("hub", "salt", "node", "text")
@@ -214,7 +216,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return stored(rows.mapInArrow(check, "u long, v long").distinct(), "links")
+    return stored(rows.mapInArrow(check, "u long, v long").distinct(), "links", salted.count())
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -336,18 +338,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     nodes = ids.where("node is not null").select("node").distinct()
     reps = marks.where("cls is not null and doc_id is not null").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
     reps = stored(reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig").distinct(), "reps")
-    keyed = arrow_map(reps, _keyed(p), "node long, key long, slot int")
+    keyed = arrow_map(reps, _keyed(p), "node long, size int, key long, slot int")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n")
+    counts = stored(counts, "counts")  # tables on both sides of a join let a hot key be split
     members = stored(keyed.join(counts, "key"), "members")
     popular = members.groupBy("node").agg(F.sum("n").alias("fame"))
-    ranked = members.join(popular, "node").select("key", "node", F.struct("fame", (-F.col("node")).alias("low")).alias("r"))
-    hubs = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.low")).alias("hub"))
-    size = reps.groupBy("node").agg(F.min("n_shingles").alias("x"), F.max("n_shingles").alias("y"))
-    pairs = members.join(hubs, "key").where("hub <> node").select("hub", "node").distinct()
-    pairs = pairs.join(size.select(F.col("node").alias("hub"), F.col("x").alias("hx"), F.col("y").alias("hy")), "hub").join(size, "node")
-    pairs = pairs.where((100 * F.col("y") >= percent * F.col("hx")) & (100 * F.col("hy") >= percent * F.col("x"))).select("hub", "node")
+    ranked = members.join(popular, "node").select("key", F.struct("fame", (-F.col("node")).alias("low"), "size").alias("r"))
+    hubs = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.low")).alias("hub"), F.col("r.size").alias("hub_size"))
+    alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    pairs = members.join(hubs, "key").where((F.col("hub") != F.col("node")) & alike).select("hub", "node").distinct()
     links = _confirm(pairs, docs, percent)
-    comp = stored(connected_components(links), "stars_of")
+    comp = stored(connected_components(links), "stars_of", 2 * links.count())
 
     placed = members.join(comp, "node", "left").select("key", "slot", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
@@ -358,11 +359,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     rest = rest.select("key", "slot", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side, "node", "comp").join(reps, "node").select(*_KEYS)
     dealt = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     active = stored(dealt.mapInArrow(_active(p), MEMBER), "active")
-    texts = _texts_of(docs, stored(active.select("node").distinct(), "nodes"))
+    live = active.count()
+    texts = _texts_of(docs, stored(active.select("node").distinct(), "nodes", live))
     full = active.join(texts, "node").select(*_KEYS, "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    more = stored(full.mapInArrow(_forest(p), "u long, v long"), "more")
+    more = stored(full.mapInArrow(_forest(p), "u long, v long").distinct(), "more", live)
     if not more.isEmpty():
-        comp = stored(connected_components(links.unionByName(more)), "components")
+        comp = stored(connected_components(links.unionByName(more)), "components", 2 * (links.count() + more.count()))
 
     labels = ids.join(comp, "node", "left").select("cls", F.coalesce("comp", "node").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
