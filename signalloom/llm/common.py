@@ -53,16 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Rows of a file, where a table's rows are counted or bounded before it is written.
-FILE_ROWS = 200_000
+#: Rows of a file of narrow rows, and of rows with signatures or texts, where a table's rows are counted or bounded.
+NARROW_ROWS, WIDE_ROWS = 1_000_000, 50_000
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, each: int = NARROW_ROWS) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing.
-    If `rows`, a bound of its rows, is known, no more files are written than they fill."""
+    If `rows`, a bound of its rows, is known, it is written in as many tasks as hold `each` of them, not more."""
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = df.coalesce(max(1, -(-rows // each)))
     path = f"{shared_dir(spark)}/signalloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, index_of, mix64, picked, prepare, stored, unclashed
+from .common import WIDE_ROWS, arrow_map, index_of, mix64, picked, prepare, stored, unclashed
 
 #: A run of this many lines is found for certain, and shorter ones never count.
 RUN = 2
@@ -81,13 +81,14 @@ def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_
     docs = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     marks = stored(arrow_map(docs, _marks(run), "doc_id long, th long, lines array<long>, at array<int>, prints array<long>"), "marks").where(F.size("at") > 0)
     spots = marks.select("doc_id", "th", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("doc_id", "th", F.col("x.at").alias("at"), F.col("x.prints").alias("print"))
-    twice = stored(spots.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "twice")  # a table, so a hot print can be split
+    size = marks.agg(F.sum(F.size("at"))).first()[0] or 0  # fingerprints: bounds what comes of them
+    twice = stored(spots.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "twice", size)  # a table, so a hot print can be split
     hits = spots.join(twice, "print", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("at").alias("hits"))
     near = marks.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "lines")
     near = near.join(hits, near["doc_id"].eqNullSafe(hits["doc_id"]) & (near["th"] == hits["th"])).select(near["doc_id"], near["th"], "lines", "hits")
-    windows = stored(arrow_map(near, _around(run), "gram long, doc_id long, th long, start long"), "windows")
+    windows = stored(arrow_map(near, _around(run), "gram long, doc_id long, th long, start long"), "windows", size)
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "start")
-    first = stored(windows.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first"), "first")
+    first = stored(windows.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first"), "first", size)
     later = windows.join(first, "gram").where(place > F.col("first"))
     return later.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
 
@@ -108,7 +109,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     share id and text are one document and get the same result; a null id comes after all others. Null
     texts stay null, and a text may become empty. Extra columns of any name are kept; no rows give none.
     """
-    runs = stored(repeated_runs(docs, run, id_col, text_col), "runs").withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    runs = stored(repeated_runs(docs, run, id_col, text_col), "runs", docs.count(), WIDE_ROWS).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     flat = unclashed(docs)
     i, t = index_of(docs, id_col), index_of(docs, text_col)
     mine = flat.withColumn("_hash", F.xxhash64(f"_c{t}"))

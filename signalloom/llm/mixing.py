@@ -40,8 +40,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """
     sums = sized.select(F.col("source").isNull().alias("nil"), F.coalesce("source", F.lit("")).alias("source"), "size")
     sums = stored(sums.groupBy("nil", "source").agg(F.sum("size").alias("source_size")), "sources")
+    n = sums.count()
     weight = F.array(*[F.lit(w) for w in weights])[(F.col("pos") % len(weights)).cast("int")]
-    ranked = stored(_ranked(sums).withColumn("weight", weight.cast("long")), "weights")
+    ranked = stored(_ranked(sums).withColumn("weight", weight.cast("long")), "weights", n)
     big = "decimal(38,0)"
     limit = F.col("source_size") * cap
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -84,7 +85,11 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as its copies say, all columns kept."""
+    """The mix itself: each row of docs as often as its copies say, all columns kept, of any name.
+
+    Null and blank texts have size 0 but are copied by their source's rate like others; null sources are a
+    source of their own; repeated rows are copied alike; a source of size 0 and an empty table give no rows.
+    """
     flat, i, t, s = unclashed(docs), index_of(docs, id_col), index_of(docs, text_col), index_of(docs, source_col)
     sized = flat.select(F.col(f"_c{s}").alias("source"), word_count(f"_c{t}").alias("size"))
     out = _with_copies(flat, source_targets(sized), f"_c{i}", f"_c{s}", seed)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, arrow_map, index_of, mix64, picked, prepare, stored, unclashed
+from .common import BROADCAST_KEYS, WIDE_ROWS, arrow_map, index_of, mix64, picked, prepare, stored, unclashed
 from .components import connected_components
 
 SHINGLE = 5
@@ -187,11 +187,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     A hub's spokes are dealt out in parts of about SPOKES rows, each beside one copy of the hub's text,
     and stream past it, so a hub with any number of spokes neither meets in one task nor multiplies its text.
     """
-    pairs = stored(pairs, "candidates")
+    n = pairs.count()
     degree = pairs.groupBy("hub").count()
     salted = pairs.join(degree, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / SPOKES)).cast("int"))
-    salted = stored(salted.select("hub", "salt", "node"), "pairs")
-    nodes = stored(salted.select(F.col("hub").alias("node")).unionByName(salted.select("node")).distinct(), "nodes", 2 * salted.count())
+    salted = stored(salted.select("hub", "salt", "node"), "pairs", n)
+    nodes = stored(salted.select(F.col("hub").alias("node")).unionByName(salted.select("node")).distinct(), "nodes", 2 * n)
     texts = stored(_texts_of(docs, nodes), "texts")
     hubs = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("node"), "text")
     spokes = salted.join(texts, "node").select("hub", "salt", "node", "text")
@@ -216,7 +216,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return stored(rows.mapInArrow(check, "u long, v long").distinct(), "links", salted.count())
+    return stored(rows.mapInArrow(check, "u long, v long").distinct(), "links", n)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -334,20 +334,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     p = p or plan(percent)
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     marks = stored(arrow_map(docs, _fingerprint(p), "doc_id long, cls binary, n_shingles long, sig binary"), "marks")
-    ids = stored(marks.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("node")), "classes")
+    texts_ = marks.count()
+    ids = stored(marks.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("node")), "classes", texts_)
     nodes = ids.where("node is not null").select("node").distinct()
     reps = marks.where("cls is not null and doc_id is not null").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    reps = stored(reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig").distinct(), "reps")
+    reps = stored(reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig").distinct(), "reps", texts_, WIDE_ROWS)
+    slots = reps.count() * p.chunks * math.comb(p.chunk, p.errors)  # rows of the index, which bounds what comes of it
     keyed = arrow_map(reps, _keyed(p), "node long, size int, key long, slot int")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n")
-    counts = stored(counts, "counts")  # tables on both sides of a join let a hot key be split
-    members = stored(keyed.join(counts, "key"), "members")
+    counts = stored(counts, "counts", slots)  # tables on both sides of a join let a hot key be split
+    members = stored(keyed.join(counts, "key"), "members", slots)
     popular = members.groupBy("node").agg(F.sum("n").alias("fame"))
     ranked = members.join(popular, "node").select("key", F.struct("fame", (-F.col("node")).alias("low"), "size").alias("r"))
     hubs = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.low")).alias("hub"), F.col("r.size").alias("hub_size"))
     alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
     pairs = members.join(hubs, "key").where((F.col("hub") != F.col("node")) & alike).select("hub", "node").distinct()
-    links = _confirm(pairs, docs, percent)
+    links = _confirm(stored(pairs, "candidates", members.count()), docs, percent)
     comp = stored(connected_components(links), "stars_of", 2 * links.count())
 
     placed = members.join(comp, "node", "left").select("key", "slot", "node", "n", F.coalesce("comp", "node").alias("comp"))
@@ -358,7 +360,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     side = (F.col("mine") < F.col("other")).cast("int").alias("side")
     rest = rest.select("key", "slot", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side, "node", "comp").join(reps, "node").select(*_KEYS)
     dealt = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    active = stored(dealt.mapInArrow(_active(p), MEMBER), "active")
+    active = stored(dealt.mapInArrow(_active(p), MEMBER), "active", members.count(), WIDE_ROWS // 10)
     live = active.count()
     texts = _texts_of(docs, stored(active.select("node").distinct(), "nodes", live))
     full = active.join(texts, "node").select(*_KEYS, "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
