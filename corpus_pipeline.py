@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that stand earlier in the corpus are cut out of the texts; every document stays."""
+    """Runs of lines and single passages that stand earlier in the corpus are cut out of the texts; every document stays."""
     n, text = len(docs.columns), f"_c{index_of(docs, 'text')}"
     flat = unclashed(lines.dedup_lines(docs))  # the columns of docs, then n_lines, n_deleted
     if "n_chars" in docs.columns:

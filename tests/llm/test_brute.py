@@ -169,6 +169,13 @@ def test_lines_by_brute_force(spark):
         assert {r["doc_id"]: r["text"] for r in got.collect()} == want
 
 
+def test_single_passages_go(spark):
+    long, more, cjk, short = "a copied paragraph of more than seven words", "another one of nine words that stands here once", "一二三四五六七八九十", "only a few words"
+    docs = [(1, f"x\n{long}\ny\n{short}"), (2, f"z\n{long}\nw"), (3, long), (4, f"{short}\n{more}"), (5, f"q\n{cjk}\nr\n{cjk}\ns"), (None, long)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()}
+    assert got == {**dict(docs), 2: "z\nw", 3: "", 5: f"q\n{cjk}\nr\ns", None: ""}
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     for run in (2, 3, 5):
