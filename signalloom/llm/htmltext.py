@@ -49,6 +49,9 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Width of smoothing over paths, share of the best fused score that content has, share of content an article holds.
 SIGMA, THRESHOLD, HELD = 1.0, 0.12, 0.75
+#: Paths further apart than this weigh under 1e-21 of a path itself: nothing, in doubles.
+REACH = 10
+_WEIGHTS = [math.exp(-(d**2) / (2 * SIGMA**2)) for d in range(REACH + 1)]
 
 
 def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -136,18 +139,24 @@ def leaves(page: str) -> list[tuple[_Node, int, str]]:
     return out
 
 
-def _distance(a: tuple, b: tuple) -> int:
-    """Tags to take off and put on to get from one path to the other."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def _chains(paths) -> dict[tuple, list[int]]:
+    """Numbers of each path and of the paths above it, as far as REACH: equal for equal beginnings."""
+    number, out = {}, {}
+    for p in paths:
+        chain = [0]
+        for tag in p:
+            chain.append(number.setdefault((chain[-1], tag), len(number) + 1))
+        out[p] = chain[::-1][: REACH + 1]
+    return out
 
 
 def path_scores(nodes: list[tuple[_Node, int, str]]) -> dict[tuple, float]:
-    """Fused score of each tag path: the geometric mean of smoothed text length and punctuation a node."""
+    """Fused score of each tag path: the geometric mean of smoothed text length and punctuation a node.
+
+    The weight of a path for another falls with their distance, the tags to take off and put on to get from
+    one to the other. Sums by depth below each beginning give all paths at a distance at once, so work
+    grows with the number of paths and not with its square.
+    """
     seen = defaultdict(lambda: [0, 0, 0])
     for node, _, text in nodes:
         n = len(text) - text.count(" ")
@@ -156,13 +165,27 @@ def path_scores(nodes: list[tuple[_Node, int, str]]) -> dict[tuple, float]:
             s[0] += 1
             s[1] += n
             s[2] += len(_PUNCTUATION.findall(text))
-    near = {p: [(q, math.exp(-(_distance(p, q) ** 2) / (2 * SIGMA**2))) for q in seen] for p in seen} if len(seen) <= 64 else {p: [(p, 1.0)] for p in seen}
+    chains = _chains(seen)
+    below = {}  # (beginning, tags further down): sums over the paths there
+    for p, chain in chains.items():
+        for k, number in enumerate(chain):
+            s = below.setdefault((number, k), [0, 0, 0])
+            for i in range(3):
+                s[i] += seen[p][i]
     out = {}
-    for p, others in near.items():
-        weight = sum(w * seen[q][0] for q, w in others)
-        length = sum(w * seen[q][1] for q, w in others) / weight
-        marks = sum(w * seen[q][2] for q, w in others) / weight
-        out[p] = math.sqrt(length * (marks + 0.1))
+    for p, chain in chains.items():
+        weight = length = marks = 0.0
+        for up, number in enumerate(chain):
+            for down in range(REACH + 1 - up):
+                s = below.get((number, down))
+                if s is None:
+                    continue
+                own = below.get((chain[up - 1], down - 1), (0, 0, 0)) if up and down else (0, 0, 0)  # met from a longer beginning
+                w = _WEIGHTS[up + down]
+                weight += w * (s[0] - own[0])
+                length += w * (s[1] - own[1])
+                marks += w * (s[2] - own[2])
+        out[p] = math.sqrt(length / weight * (marks / weight + 0.1))
     return out
 
 

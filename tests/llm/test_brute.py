@@ -264,6 +264,34 @@ def test_main_text():
     assert htmltext.main_text(plain).split("\n\n")[1:3] == want[1:3] and "cookies" not in htmltext.main_text(plain) and "Buy" not in htmltext.main_text(plain)
 
 
+@pytest.mark.parametrize("paths", [5, 60, 400])
+def test_paths_are_smoothed_at_every_size(paths):
+    rng = random.Random(paths)
+    made = [("", "html", "body", *(rng.choice(("div", "p", "ul", "li", "b")) for _ in range(rng.randint(0, 12)))) for _ in range(paths)]
+    nodes = []
+    for p in made:
+        node = htmltext._Node("", None, False, 0)
+        for tag in p[1:]:
+            node = htmltext._Node(tag, node, False, 0)
+        nodes += [(node, 0, "word, " * rng.randint(1, 40))] * rng.randint(1, 3)
+    sums = collections.defaultdict(lambda: np.zeros(3))
+    for node, _, text in nodes:
+        sums[node.path] += (1, len(text) - text.count(" "), text.count(","))
+    got = htmltext.path_scores(nodes)
+    assert got.keys() == sums.keys()
+    for p in sums:
+        total = sum(s * np.exp(-((len(p) + len(q) - 2 * next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))) ** 2) / 2) for q, s in sums.items())
+        assert got[p] == pytest.approx(np.sqrt(total[1] / total[0] * (total[2] / total[0] + 0.1)), rel=1e-9)
+
+
+def test_headings_of_pages_with_many_paths():
+    body = "".join(f"<p>{'x' * 196}, ,, .</p>" for _ in range(20)) + "".join(f"<h2>heading number {i} here</h2>" for i in range(3))
+    extra = "".join("<div>" + "".join(f"<{t}>" for t in c) + "z" + "</div>" for c in itertools.product(("b", "i", "u"), repeat=4))
+    assert len(htmltext.path_scores(htmltext.leaves(f"<html><body>{body}{extra}</body></html>"))) > 64
+    for page in (body, body + extra):
+        assert "heading number 2 here" in htmltext.main_text(f"<html><body>{page}</body></html>")
+
+
 def test_mix_copies_whole_documents(spark):
     docs = table(spark, SF, "documents")
     copies = {r["doc_id"]: r["copies"] for r in mixing.mixed_sizes(docs).collect()}
