@@ -1,7 +1,8 @@
-"""Packing token ids into windows by Karmarkar-Karp multiway differencing."""
+"""Packing token ids into windows by Karmarkar-Karp multiway differencing: documents stay whole but for what overflows."""
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import zlib
@@ -12,21 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, picked, prepare, stored
+from .common import BROADCAST_KEYS, arrow_map, picked, prepare, stored
 
-#: Capacity of a window; rests of documents are cut to pieces of at most PART ids; windows balanced at once.
-CAPACITY, PART, WINDOWS = 1024, 128, 128
+#: Capacity of a window; windows balanced at once; pieces of a group for each of its windows, at most, on average.
+CAPACITY, WINDOWS, PIECES = 1024, 128, 64
+#: Equal pieces (of repeated rows) that may share a group; more are dealt out.
+EQUAL = 64
 
 
 class Encoder:
     """Ids of a byte-level BPE `tokenizers` file.
 
     The same ids come faster from tiktoken over the same vocabulary and split pattern, which is used
-    where the rank file is given; its added tokens are taken from the .json, as that library does.
+    where the rank file is given; its added tokens are taken from the .json, as that library does. A text
+    whose white space its pattern engine gives up on is encoded by `tokenizers` itself.
     """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        self.fast = None
+        self.fast, self.slow, self.path = None, None, path
         if ranks_path:
             import base64
 
@@ -38,15 +42,19 @@ class Encoder:
                 self.added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
             self.names = set(self.added)
-        else:
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_file(path)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None:
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special=self.names, disallowed_special=()).astype(np.uint32)
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special=self.names, disallowed_special=()).astype(np.uint32)
+            except ValueError as e:  # the stack of its pattern engine, which hundreds of thousands of spaces exceed
+                if "Regex error" not in str(e):
+                    raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -95,85 +103,119 @@ def differencing(sizes: np.ndarray, bins: int) -> np.ndarray:
 
 
 def balanced(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each size in near-equal windows of at most `capacity`: as few as hold the sum, one more whenever one overflows."""
+    """Window of each size in near-equal windows of at most `capacity`: as few as hold the sum, and more (one in 32) whenever one overflows."""
     bins = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         got = differencing(sizes, bins)
         if np.bincount(got, sizes).max(initial=0) <= capacity:
             return got
-        bins += 1
+        bins += max(1, bins // 32)
+
 
+def fitted(sizes: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
+    """(item, start, length, window) of the pieces of items of `sizes` in as few windows as hold them all.
+
+    Items are balanced whole. Windows that this takes beyond the fewest are given up, least filled first, and
+    what they hold goes, cut where it must be, into the room that the others have.
+    """
+    if not len(sizes):
+        return []
+    at = balanced(sizes, capacity)
+    load_ = np.bincount(at, sizes).astype(np.int64)
+    fewest = -(-int(sizes.sum()) // capacity)
+    order = np.argsort(-load_, kind="stable")
+    window = np.full(len(load_), -1, np.int64)
+    window[order[:fewest]] = np.arange(fewest)
+    out = [(i, 0, int(sizes[i]), int(window[k])) for i, k in enumerate(at.tolist()) if window[k] >= 0]
+    room = [(int(capacity - load_[k]), int(window[k])) for k in order[:fewest] if load_[k] < capacity]
+    room.sort()
+    for i in sorted((i for i, k in enumerate(at.tolist()) if window[k] < 0), key=lambda i: (-sizes[i], i)):
+        start, left = 0, int(sizes[i])
+        while left:
+            k = min(bisect.bisect_left(room, (left, -1)), len(room) - 1)  # the least room that is enough, else the most
+            free, w = room.pop(k)
+            n = min(free, left)
+            out.append((i, start, n, w))
+            start, left = start + n, left - n
+            if free > n:
+                bisect.insort(room, (free - n, w))
+    return out
 
-def cut(n: int, capacity: int = CAPACITY, part: int = PART) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: full windows first, then pieces of `part`, then what is left.
-    Many pieces of one size and tails of every size are what differencing balances to the last few ids."""
-    full = n // capacity * capacity
-    edges = [*range(0, full, capacity), *range(full, n, part), n]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
+_PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
-def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str | None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, part: int = PART) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and a closing id 0, cut to pieces."""
+
+def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str | None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, ids: each document's ids and a closing id 0 as full windows and a
+    rest, which brings its ids (little-endian, four bytes each) along."""
 
     def rows(b: pa.RecordBatch) -> dict:
         encoder = load(tokenizer, ranks, pattern)
-        cols = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+        cols = {k: [] for k in (*_PIECE, "ids")}
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             ids = np.concatenate([encoder.ids(text or ""), np.zeros(1, np.uint32)]).astype("<u4")
             raw = memoryview(ids.tobytes())
-            for start, length in cut(len(ids), capacity, part):
-                for k, v in zip(cols, (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(ids)), strict=True):
+            for start in range(0, len(ids), capacity):
+                own = raw[4 * start : 4 * (start + capacity)]
+                n = len(own) // 4
+                for k, v in zip(cols, (doc_id, start, n, zlib.crc32(own), len(ids), bytes(own) if n < capacity else None), strict=True):
                     cols[k].append(v)
         return cols
 
-    return arrow_map(picked(docs, doc_id=id_col, text=text_col), rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return arrow_map(picked(docs, doc_id=id_col, text=text_col), rows, ", ".join(f"{c} long" for c in _PIECE) + ", ids binary")
 
 
-def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, part: int = PART, windows: int = WINDOWS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:
     """Every id of every document in exactly one piece, each piece in one sequence of at most `capacity` ids.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text is empty and has its
-    closing id alone. Full windows are sequences of their own; the other pieces are dealt at random to
-    groups of about `windows` windows, and each group is balanced by differencing. Texts are encoded
-    once; only piece rows are shuffled. Groups have bounded size whatever the documents' sizes, and
-    repeated rows, null ids and ties are pieces like any others. No rows give no pieces.
+    closing id alone. Full windows are sequences of their own; the rests are dealt by a hash of what they are
+    to groups of about `windows` windows, and each group is balanced by differencing. Texts are encoded once.
+    Groups have bounded size whatever the documents' sizes: of pieces that are equal to the last id (repeated
+    rows) each copy beyond a few is dealt by its number. So the result depends on the rows alone, not on
+    their order or partitions. Null ids and ties are pieces like any others. No rows give no pieces.
     """
     spark = docs.sparkSession
     prepare(spark)
-    cuts = stored(pieces(docs, tokenizer, ranks, pattern, id_col, text_col, capacity, part), "pieces")
-    total = cuts.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
-    count = cuts.count()
-    groups = max(1, -(-total // (windows * capacity)), -(-count // (64 * windows)))
-    dealt = cuts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
-    dealt = dealt.repartition("grp").sortWithinPartitions("grp", "doc_id", "start", "ids_crc32")
-    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    cuts = stored(pieces(docs, tokenizer, ranks, pattern, id_col, text_col, capacity), "pieces").withColumn("h", F.xxhash64(*_PIECE))
+    got = cuts.agg(F.sum(F.when(F.col("ids").isNotNull(), F.col("length"))).alias("rests"), F.count("*").alias("n")).first()
+    groups = max(1, -(-(got["rests"] or 0) // (windows * capacity)), -(-got["n"] // (PIECES * windows)))
+    often = stored(cuts.groupBy("h").count().where(F.col("count") > EQUAL).select("h"), "often", -(-got["n"] // EQUAL))
+    dealt = cuts.withColumn("copy", F.lit(0).cast("long"))
+    n = often.count()
+    if n:
+        keys = F.broadcast(often) if n <= BROADCAST_KEYS else often
+        alike = cuts.join(keys, "h", "left_semi").groupBy("h", *_PIECE).agg(F.count("*").alias("n"), F.min("ids").alias("ids"))
+        alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+        dealt = dealt.join(keys, "h", "left_anti").unionByName(alike)
+    dealt = dealt.select(F.pmod(F.xxhash64("h", "copy"), F.lit(groups)).alias("grp"), *_PIECE, "ids")
+    dealt = dealt.repartition("grp").sortWithinPartitions("grp", *_PIECE)
 
     def place(group: int, rows: list[tuple]) -> list[tuple]:
-        small = [i for i, r in enumerate(rows) if r[2] < capacity]
-        at = balanced(np.array([rows[i][2] for i in small], np.int64), capacity) if small else np.empty(0, np.int64)
-        used = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
-        nxt, out = len(used), []
-        window = dict(zip(small, at.tolist(), strict=True))
-        for i, r in enumerate(rows):
-            if i in window:
-                k = window[i]
-                out.append((*r, (group << 32) + k, int(used[k])))
-                used[k] += r[2]
-            else:
-                out.append((*r, (group << 32) + nxt, 0))
-                nxt += 1
-        return out
+        """The pieces of a group with sequence and offset; rests are the rows with ids."""
+        rests = [r for r in rows if r[5] is not None]
+        found = fitted(np.array([r[2] for r in rests], np.int64), capacity)
+        first = max((w for *_, w in found), default=-1) + 1
+        used, out = [0] * first, []
+        for i, start, length, w in found:
+            doc_id, at, size, crc, total, ids = rests[i]
+            if length != size:
+                crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+            out.append((doc_id, at + start, length, crc, total, (group << 32) + w, used[w]))
+            used[w] += length
+        full = (r for r in rows if r[5] is None)
+        return out + [(*r[:5], (group << 32) + first + k, 0) for k, r in enumerate(full)]
+
+    kinds = [*_PIECE, "sequence_id", "offset"]
 
     def run(batches):
         now, rows = None, []
-        kinds = [*names, "sequence_id", "offset"]
 
         def done():
-            got = place(now, rows)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], kinds)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*place(now, rows), strict=True)], kinds)
 
         for b in batches:
-            for grp, *row in zip(*(b.column(c).to_pylist() for c in ("grp", *names)), strict=True):
+            for grp, *row in zip(*(b.column(c).to_pylist() for c in ("grp", *_PIECE, "ids")), strict=True):
                 if grp != now:
                     if rows:
                         yield done()
@@ -182,4 +224,4 @@ def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
         if rows:
             yield done()
 
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "sequence_id", "offset")))
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in kinds))
