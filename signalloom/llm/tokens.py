@@ -3,8 +3,8 @@
 A long text is encoded in chunks that overlap. Two neighbouring encodings are spliced at a boundary
 that both have in the overlap and that is proven stable: no piece of the vocabulary contains the two
 characters next to it, so no merge can ever cross it, whatever stands around. What lies on either
-side is then encoded as in the whole text. If an overlap holds no such boundary it is widened, up to
-joining the two chunks.
+side is then encoded as in the whole text. If an overlap holds no such boundary it is widened, up to the
+chunk. A run of characters that has none over a whole chunk is encoded at once, so work stays in proportion.
 """
 
 from __future__ import annotations
@@ -39,6 +39,16 @@ class Model:
         """No vocabulary piece holds the characters before and after `at`."""
         return text[at - 1 : at + 1].replace(" ", SPACE) not in self.pairs
 
+    def next_stable(self, text: str, first: int, last: int) -> int | None:
+        """The first stable place from `first` up to, but not including, `last`."""
+        return next((x for x in range(max(first, 1), last) if self.stable(text, x)), None)
+
+    def between(self, text: str, first: int, last: int) -> int:
+        """Pieces from one stable place (or the beginning) to another (or the end), by the library at once. The
+        character before keeps the mark of a text's beginning away from them."""
+        before = len(self.sp.encode(text[first - 1 : first])) if first else 0
+        return len(self.sp.encode(text[max(first - 1, 0) : last], num_threads=1)) - before
+
     def plain(self, text: str) -> bool:
         """The normaliser only writes spaces as SPACE and may put one in front, so offsets hold."""
         return self.sp.normalize(text).removeprefix(SPACE) == text.replace(" ", SPACE).removeprefix(SPACE)
@@ -59,19 +69,20 @@ class Model:
         now = self.starts(text[:chunk])
         while end < len(text):
             wide, found = overlap, None
-            while found is None:
-                nxt = max(begin, end - wide)
-                stop = min(len(text), end + chunk)
-                after = [nxt + x for x in self.starts(text[nxt:stop])]
-                if nxt == begin:  # as wide as the chunk: the two are one now
-                    now, end = after, stop
-                    break
-                ours = {begin + x for x in now} if begin != nxt else set()
-                # a chunk's own first and last pieces may differ from those of the whole text
-                found = next((x for x in after if nxt < x < end and x > done and x in ours and self.stable(text, x)), None)
+            while found is None and end - wide > begin:
+                nxt, stop = end - wide, min(len(text), end + chunk)
+                if self.next_stable(text, max(nxt, done) + 1, end) is not None:
+                    after, ours = [nxt + x for x in self.starts(text[nxt:stop])], {begin + x for x in now}
+                    # a chunk's own first and last pieces may differ from those of the whole text
+                    found = next((x for x in after if max(nxt, done) < x < end and x in ours and self.stable(text, x)), None)
                 wide *= 2
-            if found is None:
-                now = [x - begin for x in now]
+            if found is None:  # as wide as the chunk, and in vain: this unbroken run is encoded once, to its end
+                found = self.next_stable(text, end, len(text)) or len(text)
+                total += self.between(text, done, found)
+                if found == len(text):
+                    return total
+                begin, end, done = found - 1, min(len(text), found - 1 + chunk), found
+                now = self.starts(text[begin:end])
                 continue
             total += sum(done <= begin + x < found for x in now)
             begin, end, now, done = nxt, stop, [x - nxt for x in after], found
