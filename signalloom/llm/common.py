@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch: a few MB of text, so a worker's memory stays bounded.
 BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
@@ -92,13 +93,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
     """mapInArrow over whole batches; `rows` returns columns by name in the order of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
     prepare(df.sparkSession)
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,6 +109,11 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """The schema of df, of any types, with the fields of `more` after it."""
+    return StructType(df.schema.fields + StructType.fromDDL(more).fields)
+
+
 def _as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -11,19 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, index_of, picked, prepare, unclashed, unit_hash
+from .common import arrow_map, index_of, picked, prepare, unclashed, unit_hash, with_fields
 
 #: Buckets of subwords, their lengths in bytes (a word stands between two bytes 32), embedding size.
 BUCKETS, NGRAMS, DIM = 1 << 13, (1, 2, 3, 4), 16
 #: Bounds of the labelled sample: documents a language, and in all; one in HOLD of them calibrates.
 PER_LANGUAGE, SAMPLE, HOLD = 400, 2400, 5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _WORDS_KEPT = 100_000
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    """A character of Unicode category L; no digit, fraction or numeral is one, whatever its form."""
+    return any(map(str.isalpha, text or ""))
 
 
 def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -153,18 +152,20 @@ def bucket(doc_id, parts: int) -> F.Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> LanguageModel | None:
     """A model from a bounded sample: documents with a language, a letter and an id whose crc32 mod 4 is not 2,
-    in the order of a hash, at most per_language of each language and sample in all. Features are computed
-    where the texts are. None if there is no such document."""
+    in the order of a hash, at most per_language of each language and sample in all. Rows that share an id
+    count once, by the text of least hash, so no more than `sample` rows reach the driver. Features are
+    computed where the texts are. None if there is no such document."""
     rows = picked(docs, doc_id=id_col, text=text_col, lang=lang_col)
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (bucket(F.col("doc_id"), 4) != 2))
     order = unit_hash(F.col("doc_id"), F.lit("langid"))
     w = Window.partitionBy("lang").orderBy("u", "doc_id")
     # what lies far beyond the bound in hash order is left out before languages are ranked; `sample` rows are broadcast
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).withColumnRenamed("lang", "_lang")
+    often = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count")).orderBy(F.desc("count"), "lang").limit(sample).withColumnRenamed("lang", "_lang")
     near = rows.withColumn("u", order).join(F.broadcast(often), F.col("lang") == F.col("_lang")).where(F.col("u") * F.col("count") <= 4 * per_language + 100)
-    chosen = near.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "u").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
+    chosen = near.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "u").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
     chosen = chosen.orderBy("n", "u", "lang", "doc_id").limit(sample).select(F.col("doc_id").alias("chosen")).distinct()
     found = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["chosen"], "left_semi")  # `sample` ids at most
+    found = found.where(F.col("text").rlike(r"\p{L}")).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
 
     def vectors(b: pa.RecordBatch) -> dict:
         full = [features(t) for t in b.column("text").to_pylist()]
@@ -192,7 +193,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     a model all are `und`. Repeated rows agree; extra columns of any name stay; no rows give none.
     """
     flat = unclashed(docs)
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema) + ", _lang string, _score double, _rejected boolean"
+    spec = with_fields(flat, "_lang string, _score double, _rejected boolean")
     text, kept, hold = f"_c{index_of(docs, text_col)}", flat.columns, []
 
     def rows(b: pa.RecordBatch) -> dict:

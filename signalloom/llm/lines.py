@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE_ROWS, arrow_map, index_of, mix64, picked, prepare, stored, unclashed
+from .common import WIDE_ROWS, arrow_map, index_of, mix64, picked, prepare, stored, unclashed, with_fields
 
 #: A run of this many lines is found for certain, and shorter ones count only if they are passages.
 RUN = 2
@@ -143,9 +143,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
 
 
 def _rewritten(flat: DataFrame, text: str, run: int, names: list[str]) -> DataFrame:
-    schema = flat.drop("starts", "alone").schema
+    spec = with_fields(flat.drop("starts", "alone"), "_n_lines long, _n_deleted long")
     kept = [c for c in flat.columns if c not in ("starts", "alone")]
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", _n_lines long, _n_deleted long"
 
     def rows(b: pa.RecordBatch) -> dict:
         texts, found, deleted = [], [], []

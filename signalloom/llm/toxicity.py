@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, index_of, picked, prepare, unclashed, unit_hash
+from .common import arrow_map, index_of, picked, prepare, unclashed, unit_hash, with_fields
 from .langid import bucket
 
 #: Buckets of words and word beginnings, embedding size, filter widths and filters of each width.
@@ -194,15 +194,19 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL, max_words: int = MAX_WORDS) -> ToxicityModel | None:
     """A model from a bounded sample of labelled rows whose crc32(doc_id) mod 5 is not 0: in the order of a
     hash at most per_label documents of either label, of at most max_words words. A document labelled more
-    than once counts as toxic if any label says so; null labels do not count. None without both labels."""
+    than once counts as toxic if any label says so; null labels do not count. Rows that share an id count once,
+    by the short enough text of least hash, so no more than 2 x per_label rows reach the driver. None
+    without both labels."""
     own = picked(labels, doc_id="doc_id", toxic="toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     own = own.where(bucket(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = picked(docs, doc_id=id_col, text=text_col, lang=lang_col).where("doc_id is not null and text is not null")
-    sizes = rows.select("doc_id", (F.length("text") - F.length(F.translate("text", " \n\t", ""))).alias("gaps")).where(F.col("gaps") < max_words).join(own, "doc_id").dropDuplicates(["doc_id"])
+    rows = rows.where(F.length("text") - F.length(F.translate("text", " \n\t", "")) < max_words)
+    sizes = rows.select("doc_id").join(own, "doc_id").distinct()
     u = unit_hash(F.col("doc_id"), F.lit("toxic"))
     parts = [sizes.where(F.col("toxic") == k).orderBy(u, "doc_id").limit(per_label) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("chosen"), "toxic")
     found = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["chosen"])  # 2 x per_label rows at most
+    found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("r")).select("doc_id", "toxic", "r.lang", "r.text")
 
     def ids(b: pa.RecordBatch) -> dict:
         lists = [np.array([buckets_of(w) for w in t.split()], np.int32).ravel() for t in b.column("text").to_pylist()]
@@ -230,7 +234,7 @@ def scored(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
     """
     prepare(docs.sparkSession)
     flat = unclashed(docs)
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema) + ", _toxicity double"
+    spec = with_fields(flat, "_toxicity double")
     text, kept, hold = f"_c{index_of(docs, text_col)}", flat.columns, []
 
     def rows(b: pa.RecordBatch) -> dict:
