@@ -27,8 +27,11 @@ from .components import connected_components
 
 SHINGLE = 5
 SYMBOL_BITS = 16
-#: Spokes that are checked beside one copy of their hub; members of a key compared in one block.
-SPOKES, BLOCK = 256, 512
+#: Spokes that are checked beside one copy of their hub; members of a key compared in one block, where a text counts
+#: once more for every so many shingles.
+SPOKES, BLOCK, HEAVY = 256, 512, 2000
+#: Rows without an id stand under numbers from here on, made of their texts.
+NAMELESS = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -315,24 +318,40 @@ def _forest(p: Plan):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", p: Plan | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def own_number(doc_id: str, text: str) -> F.Column:
+    """The id, or for a null one a number from NAMELESS on, made of the text."""
+    own = F.col(doc_id).cast("long")
+    wrong = F.raise_error(F.lit(f"ids must be below {NAMELESS}")).cast("long")
+    return F.when(own >= NAMELESS, wrong).otherwise(F.coalesce(own, F.xxhash64(text).bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)))
+
+
+def _named(number: F.Column) -> F.Column:
+    """The number, if it is an id."""
+    return F.when(number < NAMELESS, number)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", p: Plan | None = None, numbers: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (and, if asked for, _own, the number of own_number) for every row of docs.
 
     Steps: (1) fingerprint each text once; texts with equal words form a class whose smallest id stands
     for it; (2) keys shared by two or more classes survive a counted, pre-aggregated join; (3) in every
     key the members are compared with the one that most other texts share keys with (a hub), and linked
     if their full sets agree; (4) keys whose members lie in different components after that are
     searched fully, in blocks of bounded size that carry the texts and tell only links between
-    components, so no such link is lost and no pairs are listed; (5) components.
-
-    Null or blank texts have n_shingles 0 and stay alone. Rows that share an id are one document. A row
-    with a null id gets the smallest id of its class's component, or null, and is kept only if that is
-    null. Ties go to the smaller id. Extra columns of any name are ignored; an empty table gives none.
+    components, so no such link is lost and no pairs are listed; a key's largest component only meets the
+    key's other members, not itself, so a group of copies with a few strangers in its key costs in
+    proportion to its members; (5) components.
+
+    Null or blank texts have n_shingles 0 and stay alone. Rows that share an id are one document, and so are
+    rows with a null id and the same text; these are linked like others, come after all ids, get the smallest
+    id of their component, or null, and are kept only if no row of it has an id and theirs is the text that
+    stands for it. Ties go to the smaller id. Ids of NAMELESS and more are refused. Extra columns of any name are
+    ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     prepare(spark)
     p = p or plan(percent)
-    docs = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = picked(docs, doc_id=id_col, text=text_col).select(own_number("doc_id", "text").alias("doc_id"), "text")
     marks = stored(arrow_map(docs, _fingerprint(p), "doc_id long, cls binary, n_shingles long, sig binary"), "marks")
     texts_ = marks.count()
     ids = stored(marks.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("node")), "classes", texts_)
@@ -352,11 +371,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = _confirm(stored(pairs, "candidates", members.count()), docs, percent)
     comp = stored(connected_components(links), "stars_of", 2 * links.count())
 
-    placed = members.join(comp, "node", "left").select("key", "slot", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = placed.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.select("key", "slot", "node", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = members.join(comp, "node", "left").select("key", "slot", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    shares = placed.groupBy("key", "comp").agg(F.sum(1 + F.col("size") / HEAVY).alias("w"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("w", (-F.col("comp")).alias("low"))).alias("most"), F.sum("w").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    few, many = F.greatest(F.ceil((F.col("all") - F.col("most.w")) / BLOCK), F.lit(1)), F.ceil(F.col("most.w") / BLOCK)
+    mixed = mixed.select("key", (-F.col("most.low")).alias("main"), few.cast("int").alias("few"), many.cast("int").alias("many"))
+    # blocks 0 to few - 1 hold the smaller components, and meet all; the blocks after them hold the main one, and meet these alone
+    main, spread = F.col("comp") == F.col("main"), lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rest = placed.join(mixed, "key").withColumn("mine", F.when(main, F.col("few") + spread("many")).otherwise(spread("few")))
+    last = F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    rest = rest.select("key", "slot", "node", "comp", "mine", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     side = (F.col("mine") < F.col("other")).cast("int").alias("side")
     rest = rest.select("key", "slot", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side, "node", "comp").join(reps, "node").select(*_KEYS)
     dealt = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
@@ -370,19 +394,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     labels = ids.join(comp, "node", "left").select("cls", F.coalesce("comp", "node").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    component, own = F.coalesce("component_id", "doc_id"), [F.col("doc_id").alias("_own")] if numbers else []
+    return out.select(_named(F.col("doc_id")).alias("doc_id"), "n_shingles", _named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), *own)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the one of the smallest id. Of repeated rows
-    with that id one stays; rows with a null id stay once per text if no row with an id is near."""
+    """docs with one document of each near-duplicate group: the one of the smallest id, or, where no row of it
+    has an id, one text. Of rows that share an id, or a null id and the text, one stays: the first by text, then
+    by the other columns as JSON, so columns of any type, maps too, do. Columns of any name are kept."""
     flat = unclashed(docs)
     i, t = index_of(docs, id_col), index_of(docs, text_col)
-    marked = near_duplicates(docs, percent, id_col, text_col)
-    keep = marked.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = flat.where(F.col(f"_c{i}").isNotNull()).join(keep, flat[f"_c{i}"].cast("long") == keep["doc_id"], "left_semi")
-    w = Window.partitionBy(f"_c{i}").orderBy(*[F.col(c) for c in (f"_c{t}", *(c for c in flat.columns if c != f"_c{t}"))])
-    named = named.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
-    nameless = flat.where(F.col(f"_c{i}").isNull()).dropDuplicates([f"_c{t}"])
-    return named.unionByName(nameless).toDF(*docs.columns)
+    keep = near_duplicates(docs, percent, id_col, text_col, numbers=True).where("kept").groupBy("_own").agg(F.count("*").alias("_rows"))
+    mine = flat.withColumn("_id", own_number(f"_c{i}", f"_c{t}")).join(keep, F.col("_id") == F.col("_own"))
+    others = [c for c in flat.columns if c not in (f"_c{i}", f"_c{t}")]
+    again = mine.where("_rows > 1").withColumn("_json", F.to_json(F.struct(*others)) if others else F.lit(""))
+    w = Window.partitionBy("_id").orderBy(f"_c{t}", "_json")
+    again = again.withColumn("_row", F.row_number().over(w)).where("_row = 1")
+    return mine.where("_rows = 1").select(*flat.columns).unionByName(again.select(*flat.columns)).toDF(*docs.columns)
