@@ -2,7 +2,8 @@
 
 A bounded sample gives a neighbour graph, which is cut into balanced parts. A small classifier learns
 the parts from the vectors. It places every vector, and routes each query to its most probable parts,
-where candidates are reranked exactly.
+where candidates are reranked exactly. How many parts there are, and how many are probed, is measured on
+rows of the sample that the classifier has not seen.
 """
 
 from __future__ import annotations
@@ -16,27 +17,27 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, picked, prepare, stored, unit_hash
 
-#: Vectors of the sample, neighbours in its graph, hidden units of the classifier.
-SAMPLE, DEGREE, HIDDEN = 4000, 10, 64
-#: Least and most parts (a power of two), rows a part aims at in between, rows scored at once.
-MIN_PARTS, MAX_PARTS, PART_ROWS, BLOCK = 16, 256, 20_000, 4096
-#: Neighbours told, and the share of the sample's own neighbours that the probed parts must hold.
-TOP, COVERAGE = 20, 0.95
+#: Vectors of the sample, one in HOLD of which only measures; neighbours in its graph.
+SAMPLE, HOLD, DEGREE = 4000, 5, 10
+#: Numbers of parts that are tried, rows of the sample that a part needs to be learned, and rows that it is to hold.
+PARTS, LEARNED, PART_ROWS = (16, 64, 256), 12, 500
+#: Rows of a part, and queries, scored at once.
+BLOCK, ASKED = 4096, 2048
+#: Neighbours told; the share of neighbours that the probed parts must hold; what a probe costs, in rows scored.
+TOP, COVERAGE, PROBE = 20, 0.93, 100
 
 
 @dataclass
 class Router:
-    """mean and scale of inputs, then one hidden layer of rectified units and a softmax over parts."""
+    """Mean and scale of inputs, then a linear softmax over parts."""
 
     mean: np.ndarray
     scale: float
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
+    w: np.ndarray
+    b: np.ndarray
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(((x - self.mean) / self.scale) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return ((x - self.mean) / self.scale) @ self.w + self.b
 
 
 def neighbour_graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
@@ -79,7 +80,7 @@ def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, rng: np.random.
     return out
 
 
-def fit(x: np.ndarray, parts: int, seed: int = 3, epochs: int = 40) -> Router:
+def fit(x: np.ndarray, parts: int, seed: int = 3, epochs: int = 20) -> Router:
     """Trains the router on the sample's parts: cross entropy against the parts of a row and its neighbours."""
     rng = np.random.default_rng(seed)
     x32 = x.astype(np.float32)
@@ -91,45 +92,62 @@ def fit(x: np.ndarray, parts: int, seed: int = 3, epochs: int = 40) -> Router:
     mean = x32.mean(0)
     scale = float(x32.std()) or 1.0
     z = (x32 - mean) / scale
-    w1 = rng.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], HIDDEN)).astype(np.float32)
-    w2 = rng.normal(0, np.sqrt(1 / HIDDEN), (HIDDEN, parts)).astype(np.float32)
-    state = [w1, np.zeros(HIDDEN, np.float32), w2, np.zeros(parts, np.float32)]
+    w = (hot.T @ z / np.maximum(hot.sum(0), 1)[:, None]).T.copy()
+    state = [w, np.zeros(parts, np.float32)]
     moment, square, t = [np.zeros_like(a) for a in state], [np.zeros_like(a) for a in state], 0
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(z))
         for at in range(0, len(z), 64):
             i, t = order[at : at + 64], t + 1
-            w1, b1, w2, b2 = state
-            h = np.maximum(z[i] @ w1 + b1, 0)
-            o = h @ w2 + b2
+            o = z[i] @ state[0] + state[1]
             p = np.exp(o - o.max(1, keepdims=True))
             p = (p / p.sum(1, keepdims=True) - goal[i]) / len(i)
-            dh = (p @ w2.T) * (h > 0)
-            for a, g, m, s in zip(state, (z[i].T @ dh, dh.sum(0), h.T @ p, p.sum(0)), moment, square, strict=True):
+            for a, g, m, s in zip(state, (z[i].T @ p, p.sum(0)), moment, square, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 a -= 0.003 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    w1, b1, w2, b2 = (a.astype(np.float64) for a in state)
-    return Router(mean.astype(np.float64), scale, w1, b1, w2, b2)
+    w, b = (a.astype(np.float64) for a in state)
+    return Router(mean.astype(np.float64), scale, w, b)
 
 
-def probes_needed(router: Router, x: np.ndarray, top: int = TOP, coverage: float = COVERAGE) -> int:
-    """Fewest parts, most probable first, that hold `coverage` of the `top` neighbours of the sample's rows
-    among the sample. Neighbours among all rows are nearer still, so the true share is rather higher."""
+def probes_needed(router: Router, x: np.ndarray, aside: np.ndarray, rows: int, top: int = TOP, coverage: float = COVERAGE) -> tuple[int, float]:
+    """(fewest parts, most probable first, that hold `coverage` of the neighbours of the unseen rows `aside` of the
+    sample x; the share of all rows in them).
+
+    Of the `top` nearest of all `rows` the sample holds its share: so many of its own nearest are looked for, one at least.
+    """
     z = router.logits(x)
     parts = z.shape[1]
     own = z.argmax(1)
-    rank = np.empty_like(z, dtype=np.int64)
-    np.put_along_axis(rank, np.argsort(-z, axis=1, kind="stable"), np.arange(parts)[None], axis=1)
-    asked = np.arange(0, len(x), max(1, len(x) // 1000))
-    s = x[asked] @ x.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    k = min(top, len(x) - 1)
-    if k < 1:
-        return parts
+    order = np.argsort(-z[aside], axis=1, kind="stable")
+    share = (np.bincount(own, minlength=parts) / len(x))[order].cumsum(1).mean(0)
+    k = min(max(1, round(top * len(x) / max(rows, 1))), len(x) - 1)
+    if k < 1 or not len(aside):
+        return parts, 1.0
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(parts)[None], axis=1)
+    s = x[aside] @ x.T
+    s[np.arange(len(aside)), aside] = -np.inf
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    found = rank[asked[:, None], own[near]]
-    return int(np.quantile(found, coverage, method="higher")) + 1
+    found = np.take_along_axis(rank, own[near], axis=1)
+    probes = int(np.quantile(found, coverage, method="higher")) + 1
+    return probes, float(share[probes - 1])
+
+
+def chosen(x: np.ndarray, rows: int, top: int = TOP, coverage: float = COVERAGE, part_rows: int = PART_ROWS) -> tuple[Router, int, float]:
+    """The router of least cost a query on unseen rows, its probes and the share of rows that it visits. A query
+    costs the rows it is scored against, and PROBE for each part."""
+    aside = np.arange(len(x)) % HOLD == HOLD - 1
+    best = None
+    for parts in PARTS:
+        if best and (parts * LEARNED > (~aside).sum() or parts * part_rows > rows):
+            break
+        router = fit(x[~aside], parts)
+        probes, share = probes_needed(router, x, np.flatnonzero(aside), rows, top, coverage)
+        cost = share * rows + PROBE * probes
+        if best is None or cost < best[0]:
+            best = (cost, router, probes, share)
+    return best[1:]
 
 
 def usable(vector) -> F.Column:
@@ -139,8 +157,9 @@ def usable(vector) -> F.Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of doubles of equal length, without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
 def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, part_rows: int = PART_ROWS, coverage: float = COVERAGE) -> DataFrame:
@@ -149,11 +168,12 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, id_col: str = "
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
     length than the commonest (the shorter of equally common ones), nor rows with a null id. Of rows that share
-    id and vector one asks; rows are never candidates for their own id. All rows are indexed, each in its
-    most probable part; a part is cut into blocks of about BLOCK rows by a hash, so a third of all rows in
-    one part is many tasks. A block answers a query in one row of its `top` best. Queries probe as many
-    parts as the sample shows to be needed for `coverage`, and more if those hold few rows. Only the
-    sample, of a fixed number of vectors, and a count for each part reach the driver.
+    an id the smallest vector asks; all are candidates for others, none for their own id. All rows are indexed,
+    each in its most probable part; a part is cut into blocks of about BLOCK rows, and its queries into groups
+    of about ASKED, by hashes, so a third of all rows, or of all queries, in one part is many tasks. A block
+    answers a query in one row of its `top` best. Queries probe as many parts as unseen rows of the sample
+    show to be needed for `coverage`, and more if those hold few rows. Only the sample, of a fixed number of
+    vectors, and two counts for each part reach the driver.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -163,112 +183,125 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, id_col: str = "
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == sizes["d"])
-    parts = MIN_PARTS
-    while parts < MAX_PARTS and parts * part_rows < sizes["count"]:
-        parts *= 2
+    width = sizes["d"]
+    rows = rows.where(F.size("v") == width)
     order = unit_hash(F.col("vec_id"), F.lit("sample"))
     drawn = rows.select("vec_id", "v", order.alias("u")).orderBy("u", "vec_id", "v").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    x = _matrix(drawn)
-    router = fit(x, parts)
-    probes = probes_needed(router, x, top, coverage)
+    router, probes, _ = chosen(_matrix(drawn, width), sizes["count"], top, coverage, part_rows)
 
     def routed(b: pa.RecordBatch) -> dict:
-        z = router.logits(_matrix(b.column("v")))
-        best = np.argsort(-z, axis=1, kind="stable")
+        best = np.argsort(-router.logits(_matrix(b.column("v"), width)), axis=1, kind="stable")
         ids = b.column("vec_id").to_pylist()
         return {"vec_id": ids, "v": b.column("v"), "part": best[:, 0], "ranked": [p.tolist() if i % every == 0 else None for p, i in zip(best, ids, strict=True)]}
 
     placed = stored(arrow_map(rows, routed, "vec_id long, v array<double>, part int, ranked array<int>"), "placed")
-    filled = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # MAX_PARTS numbers at most
+    filled = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # as many numbers as parts
     blocks = {p: -(-n // BLOCK) for p, n in filled.items()}
 
     def places(b: pa.RecordBatch) -> dict:
-        """The blocks that each query visits: its probed parts, and further ones until they hold 4 x top rows."""
-        out = {k: [] for k in ("part", "block", "at")}
+        """The parts that each query visits: its probed ones, and further ones until they hold 4 x top rows."""
+        parts, at = [], []
         for i, ranked in enumerate(b.column("ranked").to_pylist()):
             seen = 0
             for k, part in enumerate(ranked):
                 if k >= probes and seen >= 4 * top:
                     break
                 seen += filled.get(part, 0)
-                for block in range(blocks.get(part, 0)):
-                    for name, value in zip(out, (part, block, i), strict=True):
-                        out[name].append(value)
-        at = pa.array(out["at"], pa.int64())
-        return {"part": out["part"], "block": out["block"], "role": [0] * len(at), "vec_id": b.column("vec_id").take(at), "v": b.column("v").take(at)}
-
-    spec = "part int, block int, role int, vec_id long, v array<double>"
-    asked = arrow_map(placed.where("ranked is not null").dropDuplicates(["vec_id", "v"]), places, spec)
-    cuts = F.create_map(*[F.lit(x) for p, n in blocks.items() for x in (p, n)])
-    data = placed.select("part", F.pmod(F.xxhash64("vec_id", "v"), cuts[F.col("part")]).cast("int").alias("block"), F.lit(1).alias("role"), "vec_id", "v")
-    met = asked.unionByName(data).repartition("part", "block").sortWithinPartitions("part", "block", "role", "vec_id")
-    hits = met.mapInArrow(_rerank(top), "query_id long, ids array<long>, scores array<double>")
+                if part in filled:
+                    parts.append(part)
+                    at.append(i)
+        at = pa.array(at, pa.int64())
+        return {"part": parts, "vec_id": b.column("vec_id").take(at), "v": b.column("v").take(at)}
+
+    asking = placed.where("ranked is not null").groupBy("vec_id").agg(F.min(F.struct("v", "ranked")).alias("r")).select("vec_id", "r.v", "r.ranked")
+    asked = stored(arrow_map(asking, places, "part int, vec_id long, v array<double>"), "asked")
+    groups = {r["part"]: -(-r["count"] // ASKED) for r in asked.groupBy("part").count().collect()}
+
+    def number(of: dict[int, int]) -> F.Column:
+        return F.create_map(*[F.lit(x) for p in filled for x in (p, of.get(p, 0))])[F.col("part")]
+
+    asked = asked.select("part", F.explode(F.sequence(F.lit(0), number(blocks) - 1)).alias("block"), F.pmod(F.xxhash64("vec_id"), number(groups)).cast("int").alias("grp"), F.lit(0).alias("role"), "vec_id", "v")
+    data = placed.withColumn("n", number(groups)).where("n > 0").select("part", F.pmod(F.xxhash64("vec_id", "v"), number(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("grp"), F.lit(1).alias("role"), "vec_id", "v")
+    met = asked.unionByName(data).repartition("part", "block", "grp").sortWithinPartitions("part", "block", "grp", "role", "vec_id")
+    hits = met.mapInArrow(_rerank(top, width), "query_id long, ids array<long>, scores array<double>")
     return hits.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(top), schema)
 
 
+def _best(of: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank from 0) of the `top` largest scores of each value of `of`, ties to smaller ids; by value, best first."""
+    order = np.lexsort((ids, -scores, of))
+    by = of[order]
+    first = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
+    rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    return order[rank < top], rank[rank < top]
+
+
 def _merged(top: int):
     """Streams the answers of blocks by query and ranks them together."""
 
-    def run(batches):
-        now, ids, scores = None, [], []
-
-        def done():
-            i, s = np.concatenate(ids), np.concatenate(scores)
-            order = np.lexsort((i, -s))[:top]
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(order), pa.int64()), pa.array(range(1, len(order) + 1), pa.int32()), pa.array(i[order], pa.int64()), pa.array(s[order], pa.float64())], ["query_id", "rank", "vec_id", "score"])
+    def told(of, ids, scores, rank):
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array((rank + 1).astype(np.int32)), pa.array(ids), pa.array(scores)], ["query_id", "rank", "vec_id", "score"])
 
+    def run(batches):
+        held = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64))  # of the query that may go on
         for b in batches:
-            for query, i, s in zip(*(b.column(c).to_pylist() for c in ("query_id", "ids", "scores")), strict=True):
-                if query != now:
-                    if ids:
-                        yield done()
-                    now, ids, scores = query, [], []
-                ids.append(np.array(i, np.int64))
-                scores.append(np.array(s, np.float64))
-        if ids:
-            yield done()
+            if not b.num_rows:
+                continue
+            own = np.repeat(b.column("query_id").to_numpy(), np.diff(b.column("ids").offsets.to_numpy()))
+            of, ids, scores = (np.concatenate(x) for x in zip(held, (own, b.column("ids").flatten().to_numpy(), b.column("scores").flatten().to_numpy()), strict=True))
+            at, rank = _best(of, ids, scores, top)
+            of, ids, scores = of[at], ids[at], scores[at]
+            last = of == of[-1]
+            held = (of[last], ids[last], scores[last])
+            if not last.all():
+                yield told(of[~last], ids[~last], scores[~last], rank[~last])
+        if len(held[0]):
+            yield told(*held, np.arange(len(held[0])))
 
     return run
 
 
-def _rerank(top: int):
-    """Streams (part, block) groups, queries first: exact scores of their rows, the best `top` of each query."""
+def _rerank(top: int, width: int):
+    """Streams (part, block, group) cells, queries first: exact scores of their rows, the best `top` of each query."""
 
-    def best(q_ids, q, ids, x) -> tuple[list, list, list]:
-        out = ([], [], [])
+    def best(q_ids, q, ids, x):
         for a in range(0, len(q), 256):
             rough = q[a : a + 256] @ x.T
-            for i, s in enumerate(rough):
-                s[ids == q_ids[a + i]] = -np.inf
-                k = min(top, len(s))
-                floor = np.partition(s, len(s) - k)[len(s) - k]
-                slack = 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else 0
-                at = np.flatnonzero((s >= floor - slack) & (s > -np.inf))
-                exact = (x[at] * q[a + i]).sum(1)  # the same sum for equal vectors, wherever they stand
-                order = np.lexsort((ids[at], -exact))[:k]
-                if len(order):
-                    out[0].append(int(q_ids[a + i]))
-                    out[1].append(ids[at][order])
-                    out[2].append(exact[order])
-        return out
+            rough[q_ids[a : a + 256, None] == ids[None]] = -np.inf
+            k = min(top, len(ids))
+            floor = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+            slack = np.where(np.isfinite(floor), 1e-9 * (1 + np.abs(floor)), 0)
+            of, at = np.nonzero((rough >= (floor - slack)[:, None]) & (rough > -np.inf))
+            if not len(of):
+                continue
+            exact = (x[at] * q[a + of]).sum(1)  # the same sum for equal vectors, wherever they stand
+            order, _ = _best(of, ids[at], exact, top)
+            of, found, exact = of[order], ids[at][order], exact[order]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            ends = pa.array(np.append(first, len(of)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (found, exact))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + of[first]]), *lists], ["query_id", "ids", "scores"])
 
     def run(batches):
-        now, queries, rows = None, ([], []), ([], [])
+        now, sides = None, ([], [])  # (ids, vectors) of queries, and of rows
 
         def done():
-            if queries[0] and rows[0]:
-                got = best(np.array(queries[0]), np.array(queries[1]), np.array(rows[0]), np.array(rows[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.list_(pa.int64())), pa.array(got[2], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
+            if sides[0] and sides[1]:
+                (q_ids, q), (ids, x) = ([np.concatenate(y) for y in zip(*side, strict=True)] for side in sides)
+                yield from best(q_ids, q, ids, x)
 
         for b in batches:
-            for part, block, role, vec_id, v in zip(*(b.column(c).to_pylist() for c in ("part", "block", "role", "vec_id", "v")), strict=True):
-                if (part, block) != now:
+            keys = np.stack([b.column(c).to_numpy() for c in ("part", "block", "grp", "role")], 1)
+            ids, x = b.column("vec_id").to_numpy(), _matrix(b.column("v"), width)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if i == j:
+                    continue
+                cell = tuple(keys[i, :3].tolist())
+                if cell != now:
                     yield from done()
-                    now, queries, rows = (part, block), ([], []), ([], [])
-                into = rows if role else queries
-                into[0].append(vec_id)
-                into[1].append(v)
+                    now, sides = cell, ([], [])
+                sides[keys[i, 3]].append((ids[i:j], x[i:j]))
         yield from done()
 
     return run
