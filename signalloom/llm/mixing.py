@@ -9,6 +9,8 @@ from .common import BROADCAST_KEYS, index_of, picked, stored, unclashed, unit_ha
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 17
+#: Turns of the hashes that are tried for each source, where asked for.
+TURNS = 32
 
 
 def word_count(text) -> F.Column:
@@ -60,39 +62,72 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return ranked.select("nil", "source", "source_size", F.when(capped, limit.cast("double")).otherwise(share).alias("target"))
 
 
-def _with_copies(rows: DataFrame, targets: DataFrame, doc_id: str, source: str, seed: int) -> DataFrame:
-    """Adds source_size, target and copies. Targets are broadcast only if they are counted to be few."""
+def _copies(u) -> F.Column:
+    """floor(rate) and one more with a probability of what is left of the rate, as the uniform number u says."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return F.floor(rate) + (u < rate - F.floor(rate)).cast("long")
+
+
+def _joined(rows: DataFrame, targets: DataFrame, source: str) -> DataFrame:
+    """rows with the columns of their source's row of targets, which is broadcast only if they are counted to be few."""
     few = targets.count() <= BROADCAST_KEYS
-    right = targets.select(F.col("nil").alias("_nil"), F.col("source").alias("_src"), "source_size", "target")
+    right = targets.withColumnsRenamed({"nil": "_nil", "source": "_src"})
     on = (F.col(source).isNull() == F.col("_nil")) & (F.coalesce(F.col(source), F.lit("")) == F.col("_src"))
-    rows = rows.join(F.broadcast(right) if few else right, on).drop("_nil", "_src")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = unit_hash(F.col(doc_id), F.lit(seed)) < rate - F.floor(rate)
-    return rows.withColumn("copies", F.floor(rate) + extra.cast("long"))
+    return rows.join(F.broadcast(right) if few else right, on).drop("_nil", "_src")
+
+
+def with_turns(targets: DataFrame, sized: DataFrame, seed: int, turns: int = TURNS) -> DataFrame:
+    """targets with `turn`: what is added, mod 1, to the hashes of a source's documents so that what is taken of it comes
+    nearest to its target, of `turns` equal steps, the smaller one of equals.
+
+    A turned hash is as uniform as the hash, so every document keeps its probability. All steps are summed in one
+    aggregate by source, combined before its shuffle. sized has doc_id, source, size.
+    """
+    u = unit_hash(F.col("doc_id"), F.lit(seed))
+    rows = _joined(sized.withColumn("_u", u), targets, "source")
+    taken = [F.sum(F.col("size") * _copies(F.pmod(F.col("_u") + k / turns, F.lit(1.0)))).alias(f"t{k}") for k in range(turns)]
+    sums = rows.groupBy(F.col("source").isNull().alias("nil"), F.coalesce("source", F.lit("")).alias("source"), "target").agg(*taken)
+    off = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k / turns).alias("turn")) for k in range(turns)])
+    best = sums.select("nil", "source", F.array_min(off)["turn"].alias("turn"))
+    return stored(targets.join(best, ["nil", "source"], "left").withColumn("turn", F.coalesce("turn", F.lit(0.0))), "turns")
+
+
+def _with_copies(rows: DataFrame, targets: DataFrame, doc_id: str, source: str, seed: int) -> DataFrame:
+    """Adds source_size, target and copies."""
+    u = unit_hash(F.col(doc_id), F.lit(seed))
+    if "turn" in targets.columns:
+        u = F.pmod(u + F.col("turn"), F.lit(1.0))
+    return _joined(rows, targets, source).withColumn("copies", _copies(u)).drop("turn")
 
 
-def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, turns: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row.
 
     size is the number of words of the whole text; taken = size x copies. The copy decided by chance
     depends on doc_id and seed alone, so reruns and retried tasks agree; repeated rows decide alike.
-    Null texts have size 0; null sources are a source of their own, last; a source of size 0 has target 0.
+    Null texts have size 0; null sources are a source of their own, last; a source of size 0 has target 0. With more
+    than one of `turns` the hashes of each source are turned to come near its target (with_turns).
     """
     sized = picked(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", word_count("text").alias("size"))
     sized = stored(sized, "sized")
-    out = _with_copies(sized, source_targets(sized), "doc_id", "source", seed)
+    targets = source_targets(sized)
+    out = _with_copies(sized, targets if turns == 1 else with_turns(targets, sized, seed, turns), "doc_id", "source", seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, turns: int = 1) -> DataFrame:
     """The mix itself: each row of docs as often as its copies say, all columns kept, of any name.
 
     Null and blank texts have size 0 but are copied by their source's rate like others; null sources are a
     source of their own; repeated rows are copied alike; a source of size 0 and an empty table give no rows.
+    `turns` is as in mixed_sizes.
     """
     flat, i, t, s = unclashed(docs), index_of(docs, id_col), index_of(docs, text_col), index_of(docs, source_col)
-    sized = flat.select(F.col(f"_c{s}").alias("source"), word_count(f"_c{t}").alias("size"))
-    out = _with_copies(flat, source_targets(sized), f"_c{i}", f"_c{s}", seed)
+    sized = flat.select(F.col(f"_c{i}").alias("doc_id"), F.col(f"_c{s}").alias("source"), word_count(f"_c{t}").alias("size"))
+    if turns > 1:
+        sized = stored(sized, "sized")
+    targets = source_targets(sized)
+    out = _with_copies(flat, targets if turns == 1 else with_turns(targets, sized, seed, turns), f"_c{i}", f"_c{s}", seed)
     out = out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(*flat.columns).toDF(*docs.columns)
 
