@@ -35,17 +35,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest id."""
+    """One document of each near-duplicate group stays: the one of the smallest id. Rows without an id are linked too and
+    go if a row with one is near; null and blank texts stay alone; of repeated rows one stays."""
     return neardup.drop_near_duplicates(docs, SIMILAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate and its hash say."""
-    return mixing.mixed_documents(docs)
+    """Each document as often as its source's rate and its hash say; hashes are turned, source by source, so that what is
+    taken comes near the target. Null texts and sources, ties and repeated rows are as in mixed_documents."""
+    return mixing.mixed_documents(docs, turns=mixing.TURNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences of at most 1024."""
+    """Pieces of token ids in sequences of at most 1024. A null text has its closing id alone; copies of a document are
+    packed like others."""
     return packing.packed(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
 
 
