@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +42,38 @@ class Signal:
         return signal.knots_to_dense(self.knots, scale=self.scale)
 
     def spans(self) -> DataFrame:
-        return signal.dense_to_spans(self.scan())
+        return signal.pieces_to_spans(signal.knots_to_spans(self.knots), scale=self.scale)
 
     def regions(self, low: int = 0, high: int = (1 << 31) - 1) -> DataFrame:
-        return regions.regions_by_coverage(self.spans(), low, high)
+        """Where the rounded value lies in [low, high]: solved by piece, then joined where pieces touch."""
+        parts = signal.crossings(signal.knots_to_spans(self.knots), low, high, scale=self.scale)
+        return regions.islands(parts, F.lit(True))
 
     def references(self) -> DataFrame:
         return self.knots.select("ref").distinct().orderBy("ref")
 
+    def at(self, *refs: str, skip: Sequence[str] = ()) -> Signal:
+        """The same signal on these references alone (all, if none are named), without those in `skip`."""
+        kept = self.knots.where(F.col("ref").isin(*refs)) if refs else self.knots
+        return replace(self, knots=kept.where(~F.col("ref").isin(*skip)) if skip else kept)
+
+    def after(self, ref: str, pos: int) -> DataFrame:
+        """Every position of a reference beyond pos, in order: pieces that end before it are never read out."""
+        pieces = signal.knots_to_spans(self.knots.where(F.col("ref") == ref)).where(F.col("end1") > pos + 1)
+        cut = pieces.withColumn("pos", F.explode(F.expr(f"sequence(greatest(start1, {int(pos)} + 1), end1 - 1)")))
+        return cut.select("ref", "pos", (signal.interpolated(F.col("pos")) * F.lit(float(self.scale))).alias("cov")).orderBy("pos")
+
+    def bytes(self, ref: str) -> Iterator[int]:
+        """Rounded values of a reference in order, from its first knot on, each as a byte (its lowest 8 bits)."""
+        rows = self.scan().where(F.col("ref") == ref).orderBy("pos").select(signal.half_up(F.col("cov")).alias("v"))
+        for r in rows.toLocalIterator():
+            yield r["v"] & 255
+
+    def spliced(self, variant_depths: DataFrame) -> Signal:
+        """The signal with knots at variants(ref, pos, dp) inside its pieces: their depth stands at their position
+        alone. A variant without a depth leaves the value that is there."""
+        return replace(self, knots=variants.spliced(self.knots, variant_depths))
+
 
 def compress(
     spark: SparkSession, source: str | DataFrame, out: str, method: str = "PERC", parameter: float | None = 0.2, roi: DataFrame | None = None,

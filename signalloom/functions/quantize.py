@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Quantizer:
-    """lower and upper give the inclusive corridor of a value; resets_at_zero: no corridor of a positive value holds 0."""
+    """lower and upper give the inclusive corridor of a value; reach gives bounds (least, greatest), maybe too wide, of what
+    the corridors hold that hold a value: all anchors that could stand for it."""
 
     name: str
     lower: Callable[[Column], Column]
     upper: Callable[[Column], Column]
-    resets_at_zero: bool = True
+    reach: Callable[[Column], tuple[Column, Column]]
 
 
 def _half_up(x: Column) -> Column:
@@ -27,7 +28,17 @@ def percent(p: float) -> Quantizer:
     """[round(c (1 - p)), round(c (1 + p))]; p = 0 keeps everything."""
     if not 0 <= p <= 1:
         raise ValueError("a percentage quantizer needs a parameter from 0 to 1")
-    return Quantizer("PERC", lambda c: _half_up(c * F.lit(1 - p)), lambda c: _half_up(c * F.lit(1 + p)), p <= 0.5)
+
+    def reach(c: Column) -> tuple[Column, Column]:
+        # an anchor a that holds c has a (1 - p) < c + 0.5 and a (1 + p) >= c - 0.5; 0 stands alone for 0 unless corridors reach it
+        v = c.cast("double")
+        least = (v - F.lit(0.5)) * F.lit((1 - p) / (1 + p)) - F.lit(0.51)
+        greatest = (v + F.lit(0.5)) * F.lit((1 + p) / (1 - p)) + F.lit(0.51) if p < 1 else F.lit(float("inf"))
+        if p > 0.5:
+            return least, greatest
+        return F.when(v > 0, F.greatest(least, F.lit(0.5))).otherwise(F.lit(0.0)), F.when(v > 0, greatest).otherwise(F.lit(0.0))
+
+    return Quantizer("PERC", lambda c: _half_up(c * F.lit(1 - p)), lambda c: _half_up(c * F.lit(1 + p)), reach)
 
 
 def grid(height: float) -> Quantizer:
@@ -35,10 +46,18 @@ def grid(height: float) -> Quantizer:
     if height <= 0:
         raise ValueError("a grid quantizer needs a height above 0")
     low = lambda c: (F.floor(c / F.lit(float(height))) * F.lit(height)).cast("long")
+
+    def reach(c: Column) -> tuple[Column, Column]:
+        # the value's own cell, and the one below, whose upper border it may be; borders that are cut to whole numbers reach further
+        more = F.lit(1.0 if height == int(height) else 2 * height + 2)
+        least = F.greatest((F.ceil(c / F.lit(float(height))) - 1) * F.lit(float(height)) - more, F.lit(1.0))
+        return F.when(c == 0, F.lit(0.0)).otherwise(least), F.when(c == 0, F.lit(0.0)).otherwise(low(c) + F.lit(int(height)) + more)
+
     return Quantizer(
         "GRID",
         lambda c: F.when(c == 0, F.lit(0)).otherwise(F.greatest(low(c), F.lit(1))).cast("long"),
         lambda c: F.when(c == 0, F.lit(0)).otherwise(low(c) + F.lit(int(height))).cast("long"),
+        reach,
     )
 
 
@@ -49,7 +68,8 @@ def log2() -> Quantizer:
         # the number of binary digits is exact where a logarithm may round
         return F.when(c == 0, F.lit(0)).otherwise(F.expr("1L") * F.pow(F.lit(2.0), F.length(F.bin(c.cast("long"))))).cast("long")
 
-    return Quantizer("LOG2", lambda c: F.shiftright(upper(c), 1).cast("long"), upper)
+    # a power of two is also the upper border of the cell below its own
+    return Quantizer("LOG2", lambda c: F.shiftright(upper(c), 1).cast("long"), upper, lambda c: (F.when(c == 0, F.lit(0.0)).otherwise(F.greatest(upper(c) / 4, F.lit(1.0))), upper(c).cast("double")))
 
 
 def quantizer(method: str, parameter: float | None = None) -> Quantizer:

@@ -85,6 +85,35 @@ def rounded_log2(x: float) -> int:
     return 0 if x <= 0 else math.floor(math.log2(x) + 0.5)
 
 
+def pow2(x: Column) -> Column:
+    """2 to the power of a whole number from 0 to 62; others are refused."""
+    wrong = F.raise_error(F.concat(F.lit("the exponent must be from 0 to 62: "), x.cast("string"))).cast("long")
+    return F.when(x.between(0, 62), F.expr("1L") * F.pow(F.lit(2.0), x)).otherwise(wrong).cast("long")
+
+
+def log2_rounded(x: Column) -> Column:
+    """The rounded binary logarithm of a whole number; 0 for those that are not positive."""
+    return F.when(x <= 0, F.lit(0)).otherwise(F.floor(F.log2(x.cast("double")) + 0.5)).cast("long")
+
+
+def log2_floored(x: Column) -> Column:
+    """The floored binary logarithm of a whole number, exact: its binary digits less one; 0 for those that are not positive."""
+    return F.when(x <= 0, F.lit(0)).otherwise(F.length(F.bin(x.cast("long"))) - 1).cast("long")
+
+
+def lognormal(normal: Column, mean: float, deviation: float) -> Column:
+    """What standard normal numbers become as whole lognormal ones of this mean and standard deviation, cut towards 0."""
+    s2 = math.log((deviation / mean) ** 2 + 1)
+    return F.exp(normal * math.sqrt(s2) + (math.log(mean) - s2 / 2)).cast("long")
+
+
+def genomic_order(ref: Column) -> Column:
+    """Sorts references as people do: numbers by value, then X, Y, M, then other names, with or without the prefix chr."""
+    name = F.regexp_replace(ref, "^chr", "")
+    rank = F.when(name.rlike(r"^\d+$"), 0).when(name == "X", 1).when(name == "Y", 2).when(name.isin("M", "MT"), 3).otherwise(4)
+    return F.struct(rank.alias("rank"), F.coalesce(name.try_cast("long"), F.lit(0)).alias("number"), ref.alias("name"))
+
+
 def golomb_parameter(mean: float) -> int:
     """Bits of the remainder that suit geometric gaps of this mean."""
     if mean <= 0:

@@ -9,23 +9,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantize import Quantizer
-from .windows import TILE, with_neighbours, with_running
+from .windows import TILE, with_running, with_runs
+
+
+def segments(spans: DataFrame, quantizer: Quantizer, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """spans with _seg, which grows where the corridor fold is known to set a new anchor, and the values before (_c) and starts after (_n)."""
+
+    def known(a, b):
+        least, greatest = quantizer.reach(a["cov"])
+        return (b["cov"] < least) | (b["cov"] > greatest)
+
+    return with_runs(spans, [*by, "ref"], "start1", known, "_seg", before={"_c": "cov"}, after={"_n": "start1"}, tile=tile)
 
 
 def lossy_knots(spans: DataFrame, quantizer: Quantizer, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """Knots where the value leaves the corridor of the anchor, which then moves to the new value.
 
-    The fold looks at changes only, so it runs over spans. Every quantizer maps 0 to [0, 0], so unless
-    its corridor of 1 reaches down to 0 the state is known again at each zero: runs between zeros fold
-    apart. A run streams through its task in order, in constant memory.
+    The fold looks at changes only, so it runs over spans. It is cut wherever the state is known: at values that
+    lie outside the corridor of every anchor that could hold the value before them, which must become the
+    anchor. So signals without zeros fold in many tasks too. A segment streams through its task in order, in
+    constant memory.
     """
     keys = [*by, "ref"]
-    near = with_neighbours(spans, keys, "start1", before={"_c": "cov", "_pe": "end1"}, after={"_n": "start1"}, tile=tile)
-    near = near.withColumns({"_zero": F.when((F.col("cov") == 0) & (F.coalesce("_c", F.lit(0)) > 0), 1).otherwise(0)})
-    if quantizer.resets_at_zero:
-        runs = with_running(near, keys, "start1", {"_seg": "_zero"}, tile)
-    else:
-        runs = near.withColumn("_seg", F.lit(0).cast("long"))
+    runs = segments(spans, quantizer, by, tile)
     runs = runs.withColumns({"lo": quantizer.lower(F.col("cov")).cast("long"), "hi": quantizer.upper(F.col("cov")).cast("long")})
     runs = runs.select(*keys, F.col("_seg").cast("long").alias("seg"), F.col("start1").cast("long").alias("start1"), F.col("end1").cast("long").alias("end1"), F.col("cov").cast("long").alias("cov"), F.coalesce("_c", F.lit(0)).cast("long").alias("before"), F.col("_n").isNull().alias("last"), "lo", "hi")
     dealt = runs.repartition(*keys, "seg").sortWithinPartitions(*keys, "seg", "start1")
@@ -39,7 +45,7 @@ def lossy_knots(spans: DataFrame, quantizer: Quantizer, by: Sequence[str] = (),
             for k, seg, start, end, cov, before, last, a, z in zip(ks, *(b.column(c).to_pylist() for c in ("seg", "start1", "end1", "cov", "before", "last", "lo", "hi")), strict=True):
                 if (k, seg) != now:
                     now, fresh = (k, seg), True
-                    # a segment begins at a zero after a run, whose corridor the run's last anchor set
+                    # a segment begins at a value that is surely an anchor: no corridor holds it
                     lo, hi = (0, 0) if seg == 0 else (1, 0)
                 if cov < lo or cov > hi:
                     rows.append((*k, start, before, cov))
@@ -79,9 +85,7 @@ def delta_decoded(deltas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def run_length_encoded(df: DataFrame, keys: Sequence[str], at: str, value: str, tile: int = TILE) -> DataFrame:
     """(keys, start, n, value): runs of equal values in the order of `at`."""
     keys = list(keys)
-    near = with_neighbours(df, keys, at, before={"_v": value, "_p": at}, tile=tile)
-    marked = near.withColumn("_new", F.when(F.col("_p").isNotNull() & F.col("_v").eqNullSafe(F.col(value)), 0).otherwise(1))
-    runs = with_running(marked, keys, at, {"_run": "_new"}, tile)
+    runs = with_runs(df.select(*dict.fromkeys((*keys, at, value))), keys, at, lambda a, b: ~a[value].eqNullSafe(b[value]), tile=tile)
     return runs.groupBy(*keys, "_run").agg(F.min(at).alias("start"), F.count("*").alias("n"), F.first(value).alias("value")).drop("_run")
 
 
@@ -90,6 +94,25 @@ def run_length_decoded(runs: DataFrame) -> DataFrame:
     return runs.select("*", F.posexplode(F.expr("array_repeat(value, cast(n as int))")).alias("i", "v")).drop("value", "n").withColumnRenamed("v", "value")
 
 
+def positions_per_block(sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, ref, blocks, mean_positions): how far apart the first knots of neighbouring blocks lie; null for one block."""
+    w = Window.partitionBy(*by, "ref").orderBy("block_id")  # a row a block
+    gap = F.lead("first_pos").over(w) - F.col("first_pos")
+    return sizes.withColumn("_gap", gap).groupBy(*by, "ref").agg(F.count("*").alias("blocks"), F.avg("_gap").alias("mean_positions"))
+
+
+def counters(spans: DataFrame, knots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(name, value): positions read, knots made, and knots where the value left its corridor upwards or downwards; closing
+    knots, one a reference, count as neither."""
+    ends = knots.groupBy(*by, "ref").agg(F.max("pos").alias("pos"))
+    inner = knots.join(ends, [*by, "ref", "pos"], "left_anti").agg(
+        F.coalesce(F.sum((F.col("c2") > F.col("c1")).cast("long")), F.lit(0)).alias("left-upper-border"),
+        F.coalesce(F.sum((F.col("c2") < F.col("c1")).cast("long")), F.lit(0)).alias("left-lower-border"),
+    )
+    one = spans.agg(F.coalesce(F.sum(F.col("end1") - F.col("start1")), F.lit(0)).cast("long").alias("coverage-values")).join(knots.agg(F.count("*").alias("codewords")), how="cross").join(inner, how="cross")  # three rows of one
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("long").alias("value")) for c in one.columns])).alias("x")).select("x.*")
+
+
 def block_sizes(blocks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Knots and first and last position of each block."""
     return blocks.groupBy(*by, "ref", "block_id").agg(F.count("*").alias("knots"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))

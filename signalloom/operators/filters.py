@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT = "FLAGS^^1024;FLAGS^^512"
@@ -48,6 +49,14 @@ def term(text: str, tags: str | None = "tags") -> Column | None:
     return col.isNull() | test
 
 
+def on_references(df: DataFrame, names: Sequence[str] = (), skip: Sequence[str] = (), ref: str = "ref") -> DataFrame:
+    """Rows of these references (all, if none are named), without those to skip; a name with or without chr is the same."""
+    bare = F.regexp_replace(ref, "^chr", "")
+    cut = lambda names: [n.removeprefix("chr") for n in names]
+    out = df.where(bare.isin(cut(names))) if names else df
+    return out.where(~bare.isin(cut(skip))) if skip else out
+
+
 def read_filter(text: str | None, tags: str | None = "tags") -> Column:
     """All conditions of a ';'-joined list; None is the default list, 'none' keeps every read."""
     text = DEFAULT if text is None else text

@@ -12,7 +12,8 @@ from .windows import TILE
 
 
 def point_query(queries: DataFrame, knots: DataFrame, quantizer: Quantizer | None = None, scale: float = 1.0, lengths: DataFrame | None = None, width: int = BIN, tile: int = TILE) -> DataFrame:
-    """queries(ref, pos, ...) with cov, lower, upper, fuzzy, padding; cov is null where there is no value.
+    """queries(ref, pos, ...) with cov, raw, lower, upper, fuzzy, padding; cov and raw, its value before scaling, are null
+    where there is no value.
 
     As-of lookup as a range join of points and pieces between knots; the last knot answers at its own
     position. Both bounds come from the corridor of the left knot. With lengths(ref, length), a position
@@ -25,7 +26,7 @@ def point_query(queries: DataFrame, knots: DataFrame, quantizer: Quantizer | Non
     value = F.when(F.col("start1").isNotNull(), interpolated(F.col("pos")) * F.lit(float(scale)))
     knot = F.col("y0").cast("long")
     low, high = (quantizer.lower(knot), quantizer.upper(knot)) if quantizer else (knot, knot)
-    out = hit.withColumns({"cov": value, "lower": low * F.lit(float(scale)), "upper": high * F.lit(float(scale))})
+    out = hit.withColumns({"cov": value, "raw": F.when(F.col("start1").isNotNull(), interpolated(F.col("pos"))), "lower": low * F.lit(float(scale)), "upper": high * F.lit(float(scale))})
     out = out.withColumn("fuzzy", F.coalesce(F.col("lower") != F.col("upper"), F.lit(False))).drop("start1", "end1", "y0", "y1")
     if lengths is None:
         return out.withColumn("padding", F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .rangejoin import BIN, overlaps, points_in_spans
 from .signal import half_up, pileup
-from .windows import TILE, with_neighbours, with_running
+from .windows import TILE, with_runs
 
 _ROI = re.compile(r"^\s*(.+):([\d,]+)-([\d,]+)\s*$")
 
@@ -26,10 +26,8 @@ def parse_roi(text: str) -> tuple[str, int, int]:
 def islands(spans: DataFrame, keep, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """Longest stretches of touching spans for which `keep` holds: (keys, start1, end1)."""
     keys = [*by, "ref"]
-    kept = spans.where(keep)
-    near = with_neighbours(kept, keys, "start1", before={"_e": "end1"}, tile=tile)
-    marked = near.withColumn("_new", F.when(F.col("_e") == F.col("start1"), 0).otherwise(1))
-    runs = with_running(marked, keys, "start1", {"_run": "_new"}, tile)
+    kept = spans.where(keep).select(*keys, "start1", "end1")
+    runs = with_runs(kept, keys, "start1", lambda a, b: a["end1"] != b["start1"], tile=tile)
     return runs.groupBy(*keys, "_run").agg(F.min("start1").alias("start1"), F.max("end1").alias("end1")).drop("_run")
 
 

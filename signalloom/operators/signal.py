@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import TILE, along, with_neighbours, with_running
+from .windows import TILE, along, with_neighbours, with_runs
 
 
 def pileup(reads: DataFrame, by: Sequence[str] = (), weight=None, tile: int = TILE) -> DataFrame:
@@ -31,9 +31,8 @@ def pileup(reads: DataFrame, by: Sequence[str] = (), weight=None, tile: int = TI
 def merged(spans: DataFrame, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """Joins touching spans of equal value."""
     keys = [*by, "ref"]
-    near = with_neighbours(spans, keys, "start1", before={"_e": "end1", "_c": "cov"}, tile=tile)
-    marked = near.withColumn("_new", F.when((F.col("_e") == F.col("start1")) & F.col("_c").eqNullSafe(F.col("cov")), 0).otherwise(1))
-    runs = with_running(marked, keys, "start1", {"_run": "_new"}, tile)
+    apart = lambda a, b: (a["end1"] != b["start1"]) | ~a["cov"].eqNullSafe(b["cov"])
+    runs = with_runs(spans.select(*keys, "start1", "end1", "cov"), keys, "start1", apart, tile=tile)
     return runs.groupBy(*keys, "_run").agg(F.min("start1").alias("start1"), F.max("end1").alias("end1"), F.first("cov").alias("cov")).drop("_run")
 
 
@@ -73,6 +72,35 @@ def interpolated(pos, start1="start1", end1="end1", y0="y0", y1="y1"):
     return F.when(width <= 0, F.col(y0)).otherwise(F.col(y0) + (F.col(y1) - F.col(y0)) * (pos - F.col(start1)) / F.when(width > 0, width))
 
 
+def pieces_to_spans(pieces: DataFrame, by: Sequence[str] = (), scale: float = 1.0, tile: int = TILE) -> DataFrame:
+    """Spans of linear pieces: level pieces as they are, and only sloping ones position by position."""
+    keys = [*by, "ref"]
+    level = (F.col("y0") == F.col("y1")) | (F.col("end1") - F.col("start1") <= 1)
+    flat = pieces.where(level).select(*keys, F.col("start1").cast("long"), F.col("end1").cast("long"), (F.col("y0") * F.lit(float(scale))).alias("cov"))
+    sloped = pieces.where(~level).withColumn("pos", F.explode(F.expr("sequence(start1, end1 - 1)")))
+    sloped = sloped.select(*keys, F.col("pos").cast("long").alias("start1"), (F.col("pos") + 1).cast("long").alias("end1"), (interpolated(F.col("pos")) * F.lit(float(scale))).alias("cov"))
+    return merged(flat.unionByName(sloped), by, tile)
+
+
+def crossings(pieces: DataFrame, low: int, high: int, by: Sequence[str] = (), scale: float = 1.0) -> DataFrame:
+    """(keys, start1, end1): where the rounded value of a linear piece lies in [low, high]; one stretch a piece, as
+    pieces only rise or only fall. The ends are solved for and then put right by the value itself, so they are those that a
+    scan finds; no position is made."""
+    keys, s = [*by, "ref"], F.lit(float(scale))
+    inside = lambda p: half_up(interpolated(p) * s).between(low, high)
+    first, last = F.col("start1").cast("long"), (F.col("end1") - 1).cast("long")
+    slope = (F.col("y1") - F.col("y0")) * s / F.when(last > first, last - first)
+    to = lambda y: first + (F.lit(float(y)) - F.col("y0") * s) / slope
+    a, z = F.least(to(low - 0.5), to(high + 0.5)), F.greatest(to(low - 0.5), to(high + 0.5))
+    clip = lambda x: F.least(F.greatest(x, first.cast("double")), last.cast("double")).cast("long")
+    near = lambda x: F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: clip(x) + d), lambda p: (p >= first) & (p <= last) & inside(p))
+    sloping = (last > first) & (F.col("y0") != F.col("y1"))
+    start = F.when(sloping, F.array_min(near(F.ceil(a)))).when(inside(first), first)
+    end = F.when(sloping, F.array_max(near(F.floor(z)))).when(inside(first), last)
+    out = pieces.where("end1 > start1").select(*keys, start.alias("start1"), end.alias("_last"))
+    return out.where("start1 is not null and _last >= start1").select(*keys, "start1", (F.col("_last") + 1).alias("end1"))
+
+
 def knots_to_dense(knots: DataFrame, by: Sequence[str] = (), scale: float = 1.0, tile: int = TILE) -> DataFrame:
     """Reconstruction of every position between the first and the last knot."""
     pieces = knots_to_spans(knots, by, tile).withColumn("pos", F.explode(F.expr("sequence(start1, end1 - 1)")))

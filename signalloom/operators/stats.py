@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import category
 from .signal import half_up
-from .windows import TILE, with_neighbours
+from .windows import TILE, running_total, with_neighbours
 
 
 def _n():
@@ -102,8 +103,7 @@ def midmean_gap(starts: DataFrame, by: Sequence[str] = ("ref",), limit: int | No
     same = near.select(F.lit(0).cast("long").alias("gap"), (F.col("_n") - 1).alias("m"))
     step = near.where("_p is not null").select((F.col("start1") - F.col("_p")).cast("long").alias("gap"), F.lit(1).cast("long").alias("m"))
     hist = same.unionByName(step).groupBy("gap").agg(F.sum("m").alias("m")).where("m > 0")
-    w = Window.orderBy("gap")  # one row a distinct distance
-    run = hist.withColumns({"hi": F.sum("m").over(w), "t": F.sum("m").over(Window.partitionBy())}).withColumn("lo", F.col("hi") - F.col("m"))
-    a, z = F.floor(F.col("t") * 0.25), F.floor(F.col("t") * 0.75)
-    take = F.greatest(F.lit(0), F.least("hi", z) - F.greatest("lo", a))
+    run, total = running_total(hist, "gap", "m", "hi")  # one row a distinct distance
+    a, z = F.lit(math.floor(total * 0.25)), F.lit(math.floor(total * 0.75))
+    take = F.greatest(F.lit(0), F.least("hi", z) - F.greatest(F.col("hi") - F.col("m"), a))
     return run.select("gap", take.alias("take")).agg((F.sum(F.col("gap") * F.col("take")) / F.sum("take")).alias("mean_gap"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (only where it is unset, as in tests) a local folder."""
+    """spark.checkpoint.dir; or, only where it is unset and Spark runs in one process, as in tests, a local folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="signalloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .rangejoin import BIN, points_in_spans
 from .signal import half_up, merged
-from .windows import TILE
+from .windows import TILE, with_neighbours
 
 
 def annotated(variants: DataFrame, spans: DataFrame, field: str = "cov", width: int = BIN) -> DataFrame:
@@ -63,3 +63,17 @@ def override(spans: DataFrame, variants: DataFrame, width: int = BIN, tile: int
     points = cuts.select("ref", F.explode("at").alias("x")).select("ref", F.col("x.pos").cast("int").alias("start1"), (F.col("x.pos") + 1).cast("int").alias("end1"), F.col("x.dp").cast("double").alias("cov"))
     whole = spans.join(cuts.select("ref", "start1"), ["ref", "start1"], "left_anti").select("ref", "start1", "end1", F.col("cov").cast("double").alias("cov"))
     return merged(whole.unionByName(rests).unionByName(points), tile=tile)
+
+
+def spliced(knots: DataFrame, variants: DataFrame, tile: int = TILE) -> DataFrame:
+    """Knots with those of variants(ref, pos, dp) added on decoding, after the first and up to the last knot of a reference.
+
+    A variant's knot goes from the value after the knot before it to its depth (the greatest, if there are several),
+    and stands for a knot that is at its position. Variants without a depth add none.
+    """
+    ends = knots.groupBy("ref").agg(F.min("pos").alias("_first"), F.max("pos").alias("_end"))
+    own = variants.where("dp is not null").groupBy("ref", "pos").agg(F.max("dp").cast("long").alias("c2")).join(ends, "ref")
+    own = own.where("pos > _first and pos <= _end").select("ref", F.col("pos").cast("long").alias("pos"), F.lit(None).cast("long").alias("c1"), "c2")
+    kept = knots.select("ref", F.col("pos").cast("long").alias("pos"), F.col("c1").cast("long").alias("c1"), F.col("c2").cast("long").alias("c2")).join(own.select("ref", "pos"), ["ref", "pos"], "left_anti")
+    near = with_neighbours(kept.unionByName(own), ["ref"], "pos", before={"_c": "c2"}, tile=tile)
+    return near.select("ref", "pos", F.coalesce("c1", "_c").alias("c1"), "c2")

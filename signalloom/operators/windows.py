@@ -6,6 +6,8 @@ tiles; windows run inside a tile, and what crosses a tile border comes from one
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +55,48 @@ def with_neighbours(df: DataFrame, keys: list[str], at: str, before: dict[str, s
 
 def with_running(df: DataFrame, keys: list[str], at: str, sums: dict[str, Column | str], tile: int = TILE) -> DataFrame:
     return along(df, keys, at, sums=sums, tile=tile)
+
+
+def with_runs(df: DataFrame, keys: Sequence[str], at: str, new: Callable[[Column, Column], Column], run: str = "_run", before: dict[str, str] | None = None, after: dict[str, str] | None = None, tile: int = TILE) -> DataFrame:
+    """Adds `run`, the number of rows so far (from 0 at the first one) for which new(row before, row) holds, and
+    neighbours as `along` does.
+
+    One pass over tiles: what a tile's first row is compared with, and how many runs begin before it, come from a row
+    a tile. df is stored once.
+    """
+    keys, before, after = list(keys), before or {}, after or {}
+    t = stored(df).withColumn("_tile", F.floor(F.col(at) / tile))
+    row = F.struct(*sorted(set(df.columns)))
+    w = Window.partitionBy(*keys, "_tile").orderBy(at)
+    inner = t.select("*", row.alias("_row")).withColumn("_row_before", F.lag("_row").over(w))
+    inner = inner.withColumn("_fresh", F.when(F.col("_row_before").isNotNull() & new(F.col("_row_before"), F.col("_row")), 1).otherwise(0))
+    tiles = inner.groupBy(*keys, "_tile").agg(F.min_by("_row", at).alias("_first"), F.max_by("_row", at).alias("_last"), F.sum("_fresh").alias("_n"))
+    over = Window.partitionBy(*keys).orderBy("_tile")  # a row a tile
+    tiles = tiles.withColumns({"_tile_before": F.lag("_last").over(over), "_tile_after": F.lead("_first").over(over)})
+    tiles = tiles.withColumn("_first_new", F.when(F.col("_tile_before").isNotNull() & new(F.col("_tile_before"), F.col("_first")), 1).otherwise(0))
+    so_far = F.coalesce(F.sum(F.col("_n") + F.col("_first_new")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tiles = tiles.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_tile").alias("_k__tile"), "_tile_before", "_tile_after", (so_far + F.col("_first_new")).alias("_base"))
+    rows = inner.withColumns({"_row_after": F.lead("_row").over(w), "_so_far": F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    on = rows["_tile"] == tiles["_k__tile"]
+    for k in keys:
+        on = on & rows[k].eqNullSafe(tiles[f"_k_{k}"])
+    out = rows.join(tiles, on)
+    prev, nxt = F.coalesce("_row_before", "_tile_before"), F.coalesce("_row_after", "_tile_after")
+    added = {run: (F.col("_base") + F.col("_so_far")).cast("long")} | {k: prev[c] for k, c in before.items()} | {k: nxt[c] for k, c in after.items()}
+    return out.select(*df.columns, *[c.alias(k) for k, c in added.items()])
+
+
+def running_total(df: DataFrame, at: str, value: str, name: str, parts: int = 32) -> tuple[DataFrame, int]:
+    """(df with `name`: the sum of `value`, whole numbers, up to and including the row in the order of `at`; the sum of all).
+
+    Ranges of rows are summed apart and offset by the sums of the ranges before, `parts` numbers in the driver, so no
+    task holds the whole table.
+    """
+    t = stored(df.repartitionByRange(parts, at).withColumn("_part", F.spark_partition_id()))
+    offsets, total = [], 0
+    for part, n in sorted((r["_part"], r["n"]) for r in t.groupBy("_part").agg(F.sum(value).alias("n")).collect()):
+        offsets.append((part, total))
+        total += int(n or 0)
+    base = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _base long")
+    w = Window.partitionBy("_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    return t.join(F.broadcast(base), "_part").withColumn(name, F.sum(value).over(w) + F.col("_base")).drop("_part", "_base"), total

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import genomic_order
 from ..operators.signal import half_up, spans_to_dense
 
 
@@ -64,14 +65,17 @@ def wide(matrix: DataFrame, tracks: Sequence[str]) -> DataFrame:
     return matrix.groupBy("ref", "pos").pivot("track", list(tracks)).agg(F.first("cov")).select(at, *[F.col(f"`{t}`") for t in tracks])
 
 
-def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
-    """Text files in the order of (ref, start1); a header, if any, heads the first line of all."""
-    out = lines.orderBy("ref", "start1")
-    if header:
-        first = lines.orderBy("ref", "start1").limit(1).select("ref", "start1").collect()
-        if first:
-            at = (F.col("ref") == first[0]["ref"]) & (F.col("start1") == first[0]["start1"])
-            out = out.withColumn("line", F.when(at, F.concat(F.lit(header + "\n"), "line")).otherwise(F.col("line")))
+def write_lines(lines: DataFrame, path: str, header: str | None = None, trailer: str | None = None, references: Sequence[str] | None = None) -> None:
+    """Text files in the order of references and of start1, between a header and a trailer, if there are any. References
+    go in the order given (such as that of their first appearance; others come last), else in genomic order."""
+    rank = F.lit(0)
+    if references is not None:
+        rank = F.coalesce(F.nullif(F.array_position(F.lit(list(references)), F.col("ref")), F.lit(0)), F.lit(len(references) + 1))
+    out = lines.select(F.lit(1).alias("_part"), rank.cast("long").alias("_rank"), "ref", F.col("start1").cast("long").alias("start1"), "line")
+    for part, text in ((0, header), (2, trailer)):
+        if text is not None:
+            out = out.unionByName(lines.sparkSession.createDataFrame([(part, 0, "", 0, text)], "_part int, _rank long, ref string, start1 long, line string"))
+    out = out.orderBy("_part", "_rank", genomic_order(F.col("ref")), "start1")
     out.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 

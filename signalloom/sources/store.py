@@ -30,6 +30,21 @@ def read_store(spark: SparkSession, path: str, ref: str | None = None, low: int
     return k.select("ref", "pos", "c1", "c2", "block_id")
 
 
+def load_block(spark: SparkSession, path: str, ref: str, block_id: int) -> DataFrame:
+    """The knots of one block, in order, with the first knot of the next one, at which its last piece ends. Folders are
+    pruned by reference and row groups by block."""
+    k = read_store(spark, path, ref)
+    end = k.where(F.col("block_id") == block_id + 1).orderBy("pos").limit(1)
+    return k.where(F.col("block_id") == block_id).unionByName(end).orderBy("pos")
+
+
+def block_of(spark: SparkSession, path: str, ref: str, pos: int) -> int | None:
+    """The block that holds the value at a position: that of the last knot up to it; null where there is none, or past the last knot."""
+    k = read_store(spark, path, ref)
+    got = k.agg(F.max(F.when(F.col("pos") <= pos, F.struct("pos", "block_id"))).alias("k"), F.max("pos").alias("last")).first()
+    return None if got["k"] is None or pos > got["last"] else int(got["k"]["block_id"])
+
+
 def describe(spark: SparkSession, path: str) -> DataFrame:
     """The header as (key, value), in order."""
     return spark.read.parquet(f"{path}/metadata").orderBy("key")

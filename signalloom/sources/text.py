@@ -125,7 +125,11 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     Blocks are the M, = and X parts of the CIGAR; D and N move on without depth. Unmapped reads are left out.
     fop_strand is the strand of the first read of a pair: a second read's strand turned round.
     """
-    raw = _fields(spark, path, "^(@|$)")
+    return reads_of(_fields(spark, path, "^(@|$)"))
+
+
+def reads_of(raw: DataFrame) -> DataFrame:
+    """What read_sam tells, of the fields f of alignment lines."""
     flag = _at(1).cast("int")
     tags = F.expr("if(size(f) > 11, slice(f, 12, size(f) - 11), cast(array() as array<string>))")
     # of tags that are named twice the first counts, so a malformed line does not stop the job
@@ -170,15 +174,15 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signal(spark: SparkSession, path: str, scale: float = 1.0, read_filter=None, weight_by_x0: bool = False) -> DataFrame:
-    """Spans from a file, by its extension: sam, wig, vcf, gvcf or gz; all else is three columns. bam needs a converter."""
+    """Spans from a file, by its extension: sam, bam, wig, vcf, gvcf or gz; all else is three columns."""
     from ..operators.filters import read_filter as compiled
     from ..operators.signal import pileup
 
     name = path.lower().rstrip("/")
-    if name.endswith(".bam"):
-        raise ValueError("binary alignments are read as text: convert them to .sam first")
-    if name.endswith(".sam"):
-        kept = read_sam(spark, path).where(compiled(read_filter))
+    if name.endswith((".sam", ".bam")):
+        from .bam import read_bam
+
+        kept = (read_sam if name.endswith(".sam") else read_bam)(spark, path).where(compiled(read_filter))
         blocks = read_blocks(kept, weight_by_x0)
         return pileup(blocks, weight=F.col("weight") if weight_by_x0 else None)
     if name.endswith((".vcf", ".gz", ".gvcf")):
