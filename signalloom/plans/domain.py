@@ -47,8 +47,20 @@ def tracks(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
 
 
 def sparse_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans with gaps of depth 0: the reads of one supplier."""
-    return pileup(reads(spark, sf_dir).where("supp = 7").select("ref", "start1", "end1"))
+    """Spans with gaps of depth 0: each reference of each supplier is one of its own."""
+    return pileup(reads(spark, sf_dir).select(F.concat_ws("_", "ref", F.col("supp").cast("string")).alias("ref"), "start1", "end1"))
+
+
+def sparse_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants, dealt to the references of the first ten suppliers."""
+    supplier = (F.pmod(F.col("o_custkey"), F.lit(10)) + 1).cast("string")
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), supplier.alias("supp"))
+    return variants(spark, sf_dir).join(o, "id").withColumn("ref", F.concat_ws("_", "ref", "supp")).drop("supp")
+
+
+def sparse_lengths(spark: SparkSession) -> DataFrame:
+    refs = [(f"{r}_{s}", 3000) for r in ("chr1", "chrX", "chrY") for s in range(1, 11)]
+    return spark.createDataFrame(refs, "ref string, length int")
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +116,9 @@ TRACK_F = ",\n".join([READS, spans_sql("f", "(SELECT * FROM reads WHERE track =
 TRACK_O = spans_sql("o", "(SELECT * FROM reads WHERE track = 'O')")
 TRACKS = ",\n".join([READS, "tr AS (SELECT CAST(supp % 5 AS VARCHAR) AS track, ref, start1, end1 FROM reads)", spans_sql("t", "tr", "track, ref")])
 ALL_SPANS = ",\n".join([READS, spans_sql("s", "reads")])
-SPARSE = ",\n".join([READS, spans_sql("s", "(SELECT * FROM reads WHERE supp = 7)")])
+SPARSE = ",\n".join([READS, spans_sql("s", "(SELECT ref || '_' || supp AS ref, start1, end1 FROM reads)")])
+SPARSE_VARIANTS = VARIANTS.replace("variants AS (", "variants0 AS (") + """,
+variants AS (SELECT v.* REPLACE (v.ref || '_' || (o.o_custkey % 10 + 1) AS ref) FROM variants0 v JOIN orders o ON o.o_orderkey = v.id)"""
 
 
 def dense_sql(name: str, spans: str, keys: str = "ref") -> str:

@@ -175,14 +175,14 @@ bd AS (SELECT *, {LOW['PERC'].replace('cov', 'knot')} AS lower, {HIGH['PERC'].re
 SELECT id, ref, {_big('pos')}, CASE WHEN found THEN round(cov, 6) END AS cov, CAST(lower AS DOUBLE) AS lower, CAST(upper AS DOUBLE) AS upper, coalesce(lower <> upper, false) AS fuzzy FROM bd""")
 def point_query(spark, sf):
     knots = codec.lossy_knots(d.track(spark, sf, "F"), QUANT["PERC"])
-    return lookup.point_query(d.variants(spark, sf).select("id", "ref", "pos"), knots, QUANT["PERC"]).drop("padding")
+    return lookup.point_query(d.variants(spark, sf).select("id", "ref", "pos"), knots, QUANT["PERC"]).drop("padding", "raw")
 
 
-@query(f"""WITH {d.SPARSE}, f AS (SELECT * FROM s), {KNOTS}, {PIECES.format(k='kn')}, {d.VARIANTS}, {POINTS}
+@query(f"""WITH {d.SPARSE}, f AS (SELECT * FROM s), {KNOTS}, {PIECES.format(k='kn')}, {d.SPARSE_VARIANTS}, {POINTS}
 SELECT id, ref, {_big('pos')}, CASE WHEN found THEN round(cov, 6) WHEN pos > 0 AND pos < 3000 THEN 0.0 END AS cov, NOT found AND pos > 0 AND pos < 3000 AS padding FROM bd""")
 def point_query_padding(spark, sf):
     knots = signal.spans_to_knots(d.sparse_track(spark, sf))
-    got = lookup.point_query(d.variants(spark, sf).select("id", "ref", "pos"), knots, lengths=d.lengths(spark))
+    got = lookup.point_query(d.sparse_variants(spark, sf).select("id", "ref", "pos"), knots, lengths=d.sparse_lengths(spark))
     return got.select("id", "ref", "pos", "cov", "padding")
 
 
@@ -214,10 +214,9 @@ def regions_zero(spark, sf):
 
 @query(f"""WITH {d.TRACK_F}, {d.FEATURES}, {d.dense_sql('x', 'f')}
 SELECT 'fixedStep chrom=' || ref || ' start=' || pos || ' step=1 span=1' AS declaration, CAST(cov AS BIGINT) AS value FROM x
-WHERE EXISTS (SELECT 1 FROM features r WHERE r.ref = x.ref AND r.feature_id <= 50 AND x.pos > r.start0 AND x.pos <= r.end0)""")
+WHERE EXISTS (SELECT 1 FROM features r WHERE r.ref = x.ref AND x.pos > r.start0 AND x.pos <= r.end0)""")
 def to_wig_positions(spark, sf):
-    roi = d.features(spark, sf).where("feature_id <= 50")
-    dense = signal.spans_to_dense(regions.in_regions(d.track(spark, sf, "F"), roi))
+    dense = signal.spans_to_dense(regions.in_regions(d.track(spark, sf, "F"), d.features(spark, sf)))
     return dense.select(F.concat(F.lit("fixedStep chrom="), "ref", F.lit(" start="), "pos", F.lit(" step=1 span=1")).alias("declaration"), signal.half_up(F.col("cov")).alias("value"))
 
 
@@ -230,9 +229,9 @@ def zoom_summary(spark, sf):
 
 
 @query(f"""WITH {d.TRACK_F}, {d.FEATURES}, {d.dense_sql('x', 'f')} SELECT ref, count(*) AS positions, CAST(sum(cov) AS BIGINT) AS total FROM x
-WHERE EXISTS (SELECT 1 FROM features r WHERE r.ref = x.ref AND r.feature_id % 10 = 0 AND x.pos > r.start0 AND x.pos <= r.end0) GROUP BY ref""")
+WHERE EXISTS (SELECT 1 FROM features r WHERE r.ref = x.ref AND x.pos > r.start0 AND x.pos <= r.end0) GROUP BY ref""")
 def roi_filter(spark, sf):
-    got = regions.in_regions(d.track(spark, sf, "F"), d.features(spark, sf).where("feature_id % 10 = 0"))
+    got = regions.in_regions(d.track(spark, sf, "F"), d.features(spark, sf))
     n = F.col("end1") - F.col("start1")
     return got.groupBy("ref").agg(F.sum(n).alias("positions"), F.sum(F.col("cov") * n).alias("total"))
 
@@ -327,20 +326,20 @@ def annotate_variants(spark, sf):
     return variants.annotated(d.variants(spark, sf), d.track(spark, sf, "F")).select("id", "ref", "pos", "dp", "cov")
 
 
-@query(f"""WITH {d.TRACK_F}, {d.VARIANTS}, n AS (SELECT ref, pos, max(zygosity = 'HET') AS het FROM variants WHERE NOT tumor AND id % 50 = 6 GROUP BY ref, pos)
+@query(f"""WITH {d.TRACK_F}, {d.VARIANTS}, n AS (SELECT ref, pos, max(zygosity = 'HET') AS het FROM variants WHERE NOT tumor GROUP BY ref, pos)
 SELECT v.id, v.ref, CAST(v.pos AS BIGINT) AS pos, CASE WHEN n.het IS NOT NULL AND NOT (v.zygosity = 'HOM' AND n.het) THEN 'normal_also' WHEN coalesce(f.cov, 0) >= 60 THEN 'accepted' ELSE 'low_coverage' END AS route
 FROM variants v LEFT JOIN n USING (ref, pos) LEFT JOIN f ON f.ref = v.ref AND v.pos >= start1 AND v.pos < end1 WHERE v.tumor""")
 def tumor_normal_routes(spark, sf):
     v = d.variants(spark, sf)
-    got = variants.tumor_normal_routes(v.where("tumor"), v.where("not tumor and id % 50 = 6"), d.track(spark, sf, "F"), 60)
+    got = variants.tumor_normal_routes(v.where("tumor"), v.where("not tumor"), d.track(spark, sf, "F"), 60)
     return got.select("id", "ref", "pos", "route")
 
 
-@query(f"""WITH {d.TRACK_F}, {d.VARIANTS}, {d.dense_sql('x', 'f')}, m AS (SELECT ref, pos, max(dp) AS dp FROM variants WHERE id % 10 = 1 GROUP BY ref, pos),
+@query(f"""WITH {d.TRACK_F}, {d.VARIANTS}, {d.dense_sql('x', 'f')}, m AS (SELECT ref, pos, max(dp) AS dp FROM variants GROUP BY ref, pos),
 v AS (SELECT x.ref, x.pos, coalesce(m.dp, x.cov) AS cov FROM x LEFT JOIN m USING (ref, pos)), g AS (SELECT *, pos - row_number() OVER (PARTITION BY ref, cov ORDER BY pos) AS g FROM v)
 SELECT ref, CAST(min(pos) AS BIGINT) AS start1, CAST(max(pos) + 1 AS BIGINT) AS end1, CAST(cov AS DOUBLE) AS cov FROM g GROUP BY ref, cov, g""")
 def variant_override(spark, sf):
-    return variants.override(d.track(spark, sf, "F"), d.variants(spark, sf).where("id % 10 = 1"))
+    return variants.override(d.track(spark, sf, "F"), d.variants(spark, sf))
 
 
 @query(f"""WITH {d.TRACKS}, {d.dense_sql('x', '(SELECT * FROM t WHERE cov >= 30 + CAST(track AS INT))', 'track, ref')}, c AS (SELECT ref, pos FROM x GROUP BY ref, pos HAVING count(*) = 5),
@@ -362,10 +361,10 @@ def subsample_step(spark, sf):
     return sampling.every_nth(d.track(spark, sf, "F"), 7)
 
 
-@query(f"""WITH {d.TRACK_F}, {d.FEATURES}, {d.dense_sql('x', 'f')}, i AS (SELECT DISTINCT ref, unnest(range(start0 + 1, end0 + 1)) AS pos FROM features WHERE feature_id % 20 = 0)
+@query(f"""WITH {d.TRACK_F}, {d.FEATURES}, {d.dense_sql('x', 'f')}, i AS (SELECT DISTINCT ref, unnest(range(start0 + 1, end0 + 1)) AS pos FROM features)
 SELECT ref, {_big('pos', 'cov')} FROM (SELECT x.*, row_number() OVER (PARTITION BY ref ORDER BY pos) AS rn FROM x JOIN i USING (ref, pos) WHERE pos >= 100) WHERE (rn - 1) % 5 = 0""")
 def subsample_regions(spark, sf):
-    return sampling.every_nth(d.track(spark, sf, "F"), 5, d.features(spark, sf).where("feature_id % 20 = 0"), start=100)
+    return sampling.every_nth(d.track(spark, sf, "F"), 5, d.features(spark, sf), start=100)
 
 
 MATRIX = f"""{d.TRACKS}, {d.dense_sql('x', 't', 'track, ref')}, ro AS (SELECT ref, pos FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY pos) AS rn FROM x WHERE track = '0') WHERE (rn - 1) % 50 = 0),
@@ -396,19 +395,19 @@ def tukey_outliers(spark, sf):
     return stats.tukey(stats.normalized(sampling.matrix(d.tracks(spark, sf), 50, TRACK_NAMES)))
 
 
-GAPS = """gp AS (SELECT start1 - lag(start1) OVER (PARTITION BY ref ORDER BY start1) AS gap FROM reads WHERE supp % 10 = 3),
+GAPS = """gp AS (SELECT start1 - lag(start1) OVER (PARTITION BY supp, ref ORDER BY start1) AS gap FROM reads),
 rk AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS i, count(*) OVER () AS n FROM gp WHERE gap IS NOT NULL), me AS (SELECT avg(gap) AS mean_gap FROM rk WHERE i >= floor(n * 0.25) AND i < floor(n * 0.75))"""
 
 
 @query(f"WITH {d.READS}, {GAPS} SELECT round(mean_gap, 6) AS mean_gap FROM me")
 def midmean_start_diff(spark, sf):
-    return stats.midmean_gap(d.reads(spark, sf).where("supp % 10 = 3"))
+    return stats.midmean_gap(d.reads(spark, sf), ("supp", "ref"))
 
 
 @query(f"""WITH {d.READS}, {GAPS} SELECT CAST(CASE WHEN mean_gap <= 0 THEN 0 ELSE greatest(0, 1 + CASE WHEN i <= 0 THEN 0 ELSE floor(log2(i) + 0.5) END) END AS BIGINT) AS k
 FROM (SELECT mean_gap, CASE WHEN mean_gap > 0 THEN floor(ln((1 + sqrt(5)) / 2 - 1) / ln(mean_gap / (mean_gap + 1))) END AS i FROM me)""")
 def golomb_k(spark, sf):
-    mean = stats.midmean_gap(d.reads(spark, sf).where("supp % 10 = 3")).first()["mean_gap"] or 0.0
+    mean = stats.midmean_gap(d.reads(spark, sf), ("supp", "ref")).first()["mean_gap"] or 0.0
     return spark.createDataFrame([(scalar.golomb_parameter(mean),)], "k long")
 
 
