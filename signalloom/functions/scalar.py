@@ -74,7 +74,8 @@ def zygosity(gt: Column) -> Column:
 
 
 def formatted(value: Column, digits: int = 1, missing: str = "n/a") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value.cast("double")), F.lit(missing))
+    """The value with so many digits, or `missing` for null (which a format string alone would write as letters of "null")."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double"))).otherwise(F.lit(missing))
 
 
 def zero_if_missing(x: Column) -> Column:
@@ -123,6 +124,6 @@ def golomb_parameter(mean: float) -> int:
 
 
 def hit_text(cov: Column, lower: Column, upper: Column) -> Column:
-    """A value with its corridor, marked where they differ."""
+    """A value with its corridor, marked where they differ; null where there is no value."""
     fuzzy = F.coalesce(lower != upper, F.lit(False))
-    return F.when(fuzzy, F.format_string("~%.2f [%.2f-%.2f]", cov, lower.cast("double"), upper.cast("double"))).otherwise(F.format_string("%.2f", cov))
+    return F.when(cov.isNull(), F.lit(None).cast("string")).when(fuzzy, F.format_string("~%.2f [%.2f-%.2f]", cov, lower.cast("double"), upper.cast("double"))).otherwise(F.format_string("%.2f", cov))

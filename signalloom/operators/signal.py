@@ -97,8 +97,9 @@ def crossings(pieces: DataFrame, low: int, high: int, by: Sequence[str] = (), sc
     sloping = (last > first) & (F.col("y0") != F.col("y1"))
     start = F.when(sloping, F.array_min(near(F.ceil(a)))).when(inside(first), first)
     end = F.when(sloping, F.array_max(near(F.floor(z)))).when(inside(first), last)
-    out = pieces.where("end1 > start1").select(*keys, start.alias("start1"), end.alias("_last"))
-    return out.where("start1 is not null and _last >= start1").select(*keys, "start1", (F.col("_last") + 1).alias("end1"))
+    # a name of their own: a new start1 would be taken for the piece's in the second expression
+    out = pieces.where("end1 > start1").select(*keys, start.alias("_from"), end.alias("_to"))
+    return out.where("_from is not null and _to >= _from").select(*keys, F.col("_from").alias("start1"), (F.col("_to") + 1).alias("end1"))
 
 
 def knots_to_dense(knots: DataFrame, by: Sequence[str] = (), scale: float = 1.0, tile: int = TILE) -> DataFrame:

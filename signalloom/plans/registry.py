@@ -435,3 +435,6 @@ def dump_limit(spark, sf):
 @query(f"WITH {d.EVENTS} SELECT ref, CAST(min(pos) AS BIGINT) AS start1, CAST(max(pos) + 1 AS BIGINT) AS end1, cov FROM (SELECT *, pos - row_number() OVER (PARTITION BY ref, cov ORDER BY pos) AS g FROM event_signal) GROUP BY ref, cov, g")
 def event_spans(spark, sf):
     return signal.dense_to_spans(d.event_signal(spark, sf))
+
+
+from . import files  # noqa: E402, F401 - more queries, which use the parts above

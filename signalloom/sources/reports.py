@@ -114,16 +114,16 @@ def write_normalized(matrix: DataFrame, win: int, tracks: Sequence[str], path: s
 
 def write_sample(dense: DataFrame, path: str, kind: str = "raw", step: int = 1) -> None:
     """A sample of positions as three columns (raw), as a WIG of spans of `step`, or as a store of knots."""
+    if kind not in ("raw", "wig", "store"):
+        raise ValueError(f"unknown kind of sample {kind!r}")
     spans = dense.select("ref", F.col("pos").alias("start1"), (F.col("pos") + step).alias("end1"), "cov")
     if kind == "raw":
         sinks.write_lines(sinks.coverage_lines(dense), path, f"# Sampled positions with step {step}")
     elif kind == "wig":
         sinks.write_lines(sinks.wig_lines(spans), path, "track type=wiggle_0")
-    elif kind == "store":
+    else:
         whole = spans.withColumn("end1", F.col("start1") + 1).withColumn("cov", half_up(F.col("cov")).cast("long"))
         store.write_store(spans_to_knots(merged(whole)), path, {"step": str(step)})
-    else:
-        raise ValueError(f"unknown kind of sample {kind!r}")
 
 
 def intersection_lines(common: DataFrame) -> DataFrame:
