@@ -33,7 +33,7 @@ QUANTIZERS = [quantize.percent(p) for p in (0, 0.05, 0.2, 0.5, 0.7, 1.0)] + [qua
 
 
 @pytest.mark.parametrize("k", range(len(QUANTIZERS)))
-@pytest.mark.parametrize("seed", [0, 1, 2])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_fold_in_segments_is_the_serial_fold(spark, k, seed):
     q, rng = QUANTIZERS[k], random.Random(seed)
     values, v = [], 20
