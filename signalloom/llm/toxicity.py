@@ -200,13 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = picked(labels, doc_id="doc_id", toxic="toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     own = own.where(bucket(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = picked(docs, doc_id=id_col, text=text_col, lang=lang_col).where("doc_id is not null and text is not null")
-    rows = rows.where(F.length("text") - F.length(F.translate("text", " \n\t", "")) < max_words)
-    sizes = rows.select("doc_id").join(own, "doc_id").distinct()
+    fits = F.length("text") - F.length(F.translate("text", " \n\t", "")) < max_words
+    sizes = rows.where(fits).select("doc_id").join(own, "doc_id").distinct()
     u = unit_hash(F.col("doc_id"), F.lit("toxic"))
     parts = [sizes.where(F.col("toxic") == k).orderBy(u, "doc_id").limit(per_label) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("chosen"), "toxic")
     found = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["chosen"])  # 2 x per_label rows at most
-    found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("r")).select("doc_id", "toxic", "r.lang", "r.text")
+    # lengths are asked for again after the join alone, of the few rows that it leaves
+    found = found.groupBy("doc_id", "toxic").agg(F.min(F.when(fits, F.struct(F.xxhash64("text").alias("h"), "text", "lang"))).alias("r")).where("r is not null").select("doc_id", "toxic", "r.lang", "r.text")
 
     def ids(b: pa.RecordBatch) -> dict:
         lists = [np.array([buckets_of(w) for w in t.split()], np.int32).ravel() for t in b.column("text").to_pylist()]
