@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import WIDE_ROWS, arrow_map, index_of, mix64, picked, prepare, stored, unclashed, with_fields
 
-#: A run of this many lines is found for certain, and shorter ones count only if they are passages.
+#: A run of this many lines is found for certain, and a single line counts only if it is a passage.
 RUN = 2
 #: A line of this many words is a passage, which counts by itself.
 PASSAGE = 8
 #: Scripts that put no spaces between words: a character counts as a word.
+_UNSPACED_SQL = r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
@@ -127,7 +128,8 @@ def without_lines(text: str, starts: list[int], run: int = RUN, alone: list[int]
 def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", passages: bool = True) -> DataFrame:
     """docs with n_lines, n_deleted added and the text rewritten: lines in runs of at least `run` lines that
     stand earlier in the corpus (in an earlier document, or higher up in the same one) are deleted, and so
-    are single lines of PASSAGE or more words, unless `passages` is false (as ORACLE_SQL has it).
+    are single lines of PASSAGE or more words (a character of a script without spaces counts as a word),
+    unless `passages` is false.
 
     Lines are cut at "\\n" and compared byte for byte; blank lines are passed over and stay. Rows that
     share id and text are one document and get the same result; a null id comes after all others. Null
@@ -166,7 +168,12 @@ WITH l AS (
 solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l WHERE regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g') <> ''),
 w AS (SELECT a.doc_id, a.k, a.line || chr(10) || b.line AS gram FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.k = a.k + {RUN - 1}),
 f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY gram ORDER BY doc_id, k) AS occurrence FROM w),
-gone AS (SELECT DISTINCT doc_id, k + d AS k FROM f, (SELECT unnest(range({RUN})) AS d) WHERE occurrence > 1),
+p AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS occurrence FROM solid
+  WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) + len(regexp_extract_all(line, '{_UNSPACED_SQL}')) >= {PASSAGE}),
+gone AS (
+  SELECT doc_id, k + d AS k FROM f, (SELECT unnest(range({RUN})) AS d) WHERE occurrence > 1
+  UNION SELECT doc_id, k FROM p WHERE occurrence > 1),
 kept AS (
   SELECT l.doc_id, l.n, l.line, solid.k, gone.k IS NOT NULL AS gone
   FROM l LEFT JOIN solid USING (doc_id, n) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.k = solid.k)

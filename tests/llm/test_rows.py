@@ -1,6 +1,8 @@
 """Repeated ids in training, columns of any type, rows without an id, and what a filter's pooling computes."""
 
 import collections
+import itertools
+import random
 
 import numpy as np
 import pytest
@@ -108,3 +110,23 @@ def test_scores_are_the_convolution_over_all_words():
         t = m.thresholds[int(votes.argmax()) if text.split() else 2]
         want = 0.5 * p / t if p < t else 0.5 + 0.5 * (p - t) / (1 - t)
         assert toxicity.Scorer(m).scores([text])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_runs_and_passages_by_brute_force(spark):
+    rng = random.Random(9)
+    pool = ["a b", "c", "  ", "one two three four five six seven", "one two three four five six seven eight", "\tnine or more words are in this line\r", "字" * 7, "字" * 8, "字 " * 4 + "a b c d"]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.3 else f"only {i} {k}" for k in range(rng.randint(0, 9)))) for i in range(60)]
+    runs, single, want = set(), set(), {}
+    for i, t in docs:
+        ls = t.split("\n")
+        solid, gone = [k for k, x in enumerate(ls) if x.strip()], set()
+        for a, b in itertools.pairwise(solid):
+            gone |= {a, b} if (ls[a], ls[b]) in runs else set()
+            runs.add((ls[a], ls[b]))
+        for k in solid:
+            if len(ls[k].split()) + ls[k].count("字") >= 8:
+                gone |= {k} if ls[k] in single else set()
+                single.add(ls[k])
+        want[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want and any(want[i] != t for i, t in docs)
