@@ -145,9 +145,13 @@ capped AS (SELECT *, (CAST(w AS HUGEINT) * left_t > CAST({CAP} * s AS HUGEINT) *
 fin AS (SELECT max(t) - coalesce(sum({CAP} * s) FILTER (cap), 0) AS t, coalesce(sum(w) FILTER (NOT cap), 1) AS w FROM capped),
 targets AS (SELECT c.source, CAST(c.s AS BIGINT) AS s,
     CASE WHEN cap THEN CAST({CAP} * c.s AS DOUBLE) ELSE CAST(c.w AS DOUBLE) * CAST(fin.t AS DOUBLE) / CAST(fin.w AS DOUBLE) END AS target FROM capped c, fin),
-rated AS (SELECT d.doc_id, d.size, x.s AS source_size, x.target, CASE WHEN x.s > 0 THEN x.target / x.s ELSE 0.0 END AS rate,
+rated AS (SELECT d.doc_id, d.size, x.source, x.s AS source_size, x.target, CASE WHEN x.s > 0 THEN x.target / x.s ELSE 0.0 END AS rate,
     CAST('0x' || substr(md5(concat_ws(':', coalesce(CAST(d.doc_id AS VARCHAR), 'null'), '{SEED}')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-  FROM sized d JOIN targets x ON d.source IS NOT DISTINCT FROM x.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CAST(u < rate - floor(rate) AS INT)) AS BIGINT) AS taken,
-  CAST(floor(rate) + CAST(u < rate - floor(rate) AS INT) AS BIGINT) AS copies
-FROM rated"""
+  FROM sized d JOIN targets x ON d.source IS NOT DISTINCT FROM x.source),
+turned AS (SELECT *, CAST(k AS DOUBLE) / {TURNS} AS turn, CAST(floor(rate) + CAST(u + turn - floor(u + turn) < rate - floor(rate) AS INT) AS BIGINT) AS copies
+  FROM rated, (SELECT unnest(range({TURNS})) AS k)),
+best AS (SELECT source, turn FROM (
+    SELECT source, turn, row_number() OVER (PARTITION BY source ORDER BY abs(CAST(sum(size * copies) AS DOUBLE) - max(target)), turn) AS place FROM turned GROUP BY source, turn)
+  WHERE place = 1)
+SELECT t.doc_id, t.size, t.source_size, t.target, CAST(t.size * t.copies AS BIGINT) AS taken, t.copies
+FROM turned t JOIN best b ON t.source IS NOT DISTINCT FROM b.source AND t.turn = b.turn"""

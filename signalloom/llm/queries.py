@@ -53,7 +53,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"), turns=mixing.TURNS)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
