@@ -46,9 +46,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; or, only where it is unset and Spark runs in one
+    process, as in tests, a local one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="signalloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
