@@ -11,16 +11,25 @@ from .rangejoin import BIN, overlaps
 from .regions import in_regions
 
 
+def _totals(intervals: DataFrame, spans: DataFrame, by: Sequence[str] = (), width: int = BIN) -> DataFrame:
+    """(ref, lo, hi, by, total, covered): sum of coverage and bases with coverage in each different interval(ref, lo, hi)
+    that spans meet."""
+    hit = overlaps(spans, intervals.select("ref", "lo", "hi").distinct(), width=width)
+    return hit.groupBy("ref", "lo", "hi", *by).agg(
+        F.sum(F.col("cov").cast("double") * F.col("overlap")).alias("total"),
+        F.sum(F.when(F.col("cov") > 0, F.col("overlap")).otherwise(0)).cast("long").alias("covered"),
+    )
+
+
 def coverage_per_feature(features: DataFrame, spans: DataFrame, by: Sequence[str] = (), key: str = "feature_id", width: int = BIN) -> DataFrame:
     """Mean coverage of each feature(key, ref, start0, end0) in each track: sum over its bases / its width.
 
     Uncovered bases count as 0. Features that a track nowhere covers have no row for it (see with_missing).
-    Cost follows spans and features, not positions.
+    Cost follows spans and features, not positions; features on the same bases share their sums.
     """
     f = features.select(key, "ref", (F.col("start0") + 1).alias("lo"), (F.col("end0") + 1).alias("hi"))
-    hit = overlaps(spans, f, width=width)
-    total = F.sum(F.col("cov").cast("double") * F.col("overlap"))
-    return hit.groupBy(key, *by).agg((total / F.first(F.col("hi") - F.col("lo"))).alias("mean_cov"))
+    hit = f.join(_totals(f, spans, by, width), ["ref", "lo", "hi"])
+    return hit.groupBy(key, *by).agg((F.sum("total") / F.first(F.col("hi") - F.col("lo"))).alias("mean_cov"))
 
 
 def with_missing(features: DataFrame, means: DataFrame, key: str = "feature_id", missing: float = 0.0) -> DataFrame:
@@ -40,9 +49,6 @@ def coverage_per_gene(exons: DataFrame, spans: DataFrame, width: int = BIN) -> D
     """For exons(gene, ref, start0, end0): exon bases, mean coverage over them, and the share without coverage."""
     e = exons.select("gene", "ref", (F.col("start0") + 1).alias("lo"), (F.col("end0") + 1).alias("hi"))
     sizes = e.groupBy("gene").agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("bases"))
-    hit = overlaps(spans, e, width=width).groupBy("gene").agg(
-        F.sum(F.col("cov").cast("double") * F.col("overlap")).alias("total"),
-        F.sum(F.when(F.col("cov") > 0, F.col("overlap")).otherwise(0)).cast("long").alias("covered"),
-    )
+    hit = e.join(_totals(e, spans, width=width), ["ref", "lo", "hi"]).groupBy("gene").agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
     out = sizes.join(hit, "gene", "left")
     return out.select("gene", "bases", (F.coalesce("total", F.lit(0.0)) / F.col("bases")).alias("mean_cov"), (1 - F.coalesce("covered", F.lit(0)) / F.col("bases")).alias("uncovered"))

@@ -71,7 +71,8 @@ def min_covered(spans: DataFrame, track: str, minimum: dict, tile: int = TILE) -
 def scope_overlap(scope: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
     """For each scope(ref, start0, end0, name): covered bases and their share of its width. Regions are disjoint."""
     s = scope.select("ref", (F.col("start0") + 1).alias("start1"), (F.col("end0") + 1).alias("end1"), "name")
-    hit = overlaps(s, regions.select("ref", F.col("start1").alias("lo"), F.col("end1").alias("hi")), width=width)
-    sums = hit.groupBy("ref", "start1", "end1", "name").agg(F.sum("overlap").alias("covered"))
-    out = s.join(sums, ["ref", "start1", "end1", "name"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    hit = overlaps(s.select("ref", "start1", "end1").distinct(), regions.select("ref", F.col("start1").alias("lo"), F.col("end1").alias("hi")), width=width)
+    sums = hit.groupBy("ref", "start1", "end1").agg(F.sum("overlap").alias("covered"))
+    out = s.join(sums, ["ref", "start1", "end1"], "left").select("ref", "start1", "end1", "name", "covered")
+    out = out.withColumn("covered", F.coalesce("covered", F.lit(0)))
     return out.withColumn("share", F.col("covered") / (F.col("end1") - F.col("start1")))

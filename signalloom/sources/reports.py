@@ -61,7 +61,8 @@ def feature_trailer(overall: DataFrame) -> str:
 
 def sorted_lines(lines: DataFrame) -> DataFrame:
     """Lines in genomic order of (ref, start1)."""
-    return lines.orderBy(genomic_order(F.col("ref")), "start1", "line").select("line")
+    at = lines.withColumn("_o", genomic_order(F.col("ref"))).select(F.col("_o.rank").alias("_o1"), F.col("_o.number").alias("_o2"), F.col("_o.name").alias("_o3"), "start1", "line")
+    return at.orderBy("_o1", "_o2", "_o3", "start1", "line").select("line")
 
 
 def normalized_lines(matrix: DataFrame, tracks: Sequence[str], digits: int = 4) -> DataFrame:

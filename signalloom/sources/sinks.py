@@ -65,18 +65,25 @@ def wide(matrix: DataFrame, tracks: Sequence[str]) -> DataFrame:
     return matrix.groupBy("ref", "pos").pivot("track", list(tracks)).agg(F.first("cov")).select(at, *[F.col(f"`{t}`") for t in tracks])
 
 
-def write_lines(lines: DataFrame, path: str, header: str | None = None, trailer: str | None = None, references: Sequence[str] | None = None) -> None:
-    """Text files in the order of references and of start1, between a header and a trailer, if there are any. References
-    go in the order given (such as that of their first appearance; others come last), else in genomic order."""
+def in_order(lines: DataFrame, header: str | None = None, trailer: str | None = None, references: Sequence[str] | None = None) -> DataFrame:
+    """(value): lines in the order of references and of start1, as write_lines writes them."""
     rank = F.lit(0)
     if references is not None:
         rank = F.coalesce(F.nullif(F.array_position(F.lit(list(references)), F.col("ref")), F.lit(0)), F.lit(len(references) + 1))
     out = lines.select(F.lit(1).alias("_part"), rank.cast("long").alias("_rank"), "ref", F.col("start1").cast("long").alias("start1"), "line")
     for part, text in ((0, header), (2, trailer)):
         if text is not None:
-            out = out.unionByName(lines.sparkSession.createDataFrame([(part, 0, "", 0, text)], "_part int, _rank long, ref string, start1 long, line string"))
-    out = out.orderBy("_part", "_rank", genomic_order(F.col("ref")), "start1")
-    out.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+            one = lines.sparkSession.range(1).select(F.lit(part).alias("_part"), F.lit(0).cast("long").alias("_rank"), F.lit("").alias("ref"), F.lit(0).cast("long").alias("start1"), F.lit(text).alias("line"))
+            out = out.unionByName(one)
+    # keys are columns: a sort would work out an expression anew for each comparison
+    out = out.withColumn("_o", genomic_order(F.col("ref"))).select("_part", "_rank", F.col("_o.rank").alias("_o1"), F.col("_o.number").alias("_o2"), F.col("_o.name").alias("_o3"), "start1", "line")
+    return out.orderBy("_part", "_rank", "_o1", "_o2", "_o3", "start1").select(F.col("line").alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str, header: str | None = None, trailer: str | None = None, references: Sequence[str] | None = None) -> None:
+    """Text files in the order of references and of start1, between a header and a trailer, if there are any. References
+    go in the order given (such as that of their first appearance; others come last), else in genomic order."""
+    in_order(lines, header, trailer, references).write.mode("overwrite").text(path)
 
 
 def write_routes(variants: DataFrame, path: str) -> None:
