@@ -29,7 +29,7 @@ def histogram_at_variants(variants: DataFrame, spans: DataFrame, bin_width: int,
     """(ref, bin, n): coverage at variant positions, for all (ref ALL) and by reference, in one grouping."""
     v = passing(variants) if only_pass else variants
     at = first_at_position(v, order).select("ref", "pos")
-    hit = points_in_spans(at, spans, width=width).select("ref", (F.floor(half_up(F.col("cov")) / bin_width) * bin_width).cast("long").alias("bin"))
+    hit = points_in_spans(at, spans, width=width, unique=True).select("ref", (F.floor(half_up(F.col("cov")) / bin_width) * bin_width).cast("long").alias("bin"))
     sets = hit.groupingSets([["ref", "bin"], ["bin"]], "ref", "bin").agg(F.count("*").alias("n"), F.grouping("ref").alias("g"))
     return sets.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("ref")).alias("ref"), "bin", "n")
 
@@ -41,8 +41,7 @@ def tumor_normal_routes(tumor: DataFrame, normal: DataFrame, normal_spans: DataF
     is left needs min_coverage in the normal's signal.
     """
     n = normal.groupBy("ref", "pos").agg(F.max(F.col("zygosity") == "HET").alias("_het"))
-    both = tumor.join(n, ["ref", "pos"], "left")
-    both = annotated(both, normal_spans, "normal_cov", width)
+    both = annotated(tumor, normal_spans, "normal_cov", width).join(n, ["ref", "pos"], "left")
     found = F.col("_het").isNotNull()
     rescued = (F.col("zygosity") == "HOM") & F.coalesce("_het", F.lit(False))
     deep = half_up(F.coalesce("normal_cov", F.lit(0))) >= min_coverage
@@ -53,7 +52,7 @@ def tumor_normal_routes(tumor: DataFrame, normal: DataFrame, normal_spans: DataF
 def override(spans: DataFrame, variants: DataFrame, width: int = BIN, tile: int = TILE) -> DataFrame:
     """Spans whose value at a variant's position is its depth (the greatest, if there are several)."""
     v = variants.groupBy("ref", "pos").agg(F.max("dp").alias("dp"))
-    inside = points_in_spans(v, spans, width=width)
+    inside = points_in_spans(v, spans, width=width, unique=True)
     cuts = inside.groupBy("ref", "start1", "end1", "cov").agg(F.array_sort(F.collect_list(F.struct("pos", "dp"))).alias("at"))
     # a span with k variants becomes up to 2k + 1: the variants, and what lies between their neighbours
     starts = F.concat(F.array(F.col("start1")), F.transform("at", lambda x: (x["pos"] + 1).cast("int")))

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.operators import features, rangejoin, regions, variants
+from signalloom.functions import quantize
+from signalloom.operators import features, lookup, rangejoin, regions, variants
 from signalloom.sources import reports, sinks
 
 
@@ -85,6 +86,18 @@ def test_points_that_share_a_position_are_looked_up_once(spark):
     assert {r["id"]: r["cov"] for r in got.collect()} == {i: 0 if i % 5 and i % 3 else None for i in range(30)}
 
 
+def test_point_queries_look_up_each_position_once(spark):
+    knots = spark.createDataFrame([("chr1", 5, 0, 8), ("chr1", 10, 8, 0)], "ref string, pos int, c1 long, c2 long")
+    q = spark.createDataFrame([(i, "chr1" if i % 5 else None, [7, 3, None, 90][i % 4]) for i in range(40)], "id int, ref string, pos int")
+    lengths = spark.createDataFrame([("chr1", 20)], "ref string, length int")
+    got = lookup.point_query(q, knots, quantize.percent(0.2), lengths=lengths)
+    assert looked_up(got)
+    assert got.count() == 40
+    for r in got.collect():
+        hit, pad = bool(r["id"] % 5) and r["pos"] == 7, bool(r["id"] % 5) and r["pos"] == 3
+        assert (r["cov"], r["lower"], r["fuzzy"], r["padding"]) == (8.0 if hit else 0.0 if pad else None, 6.0 if hit else None, hit, pad)
+
+
 def test_lines_are_sorted_by_columns(spark, tmp_path):
     """A sort works out an expression that is no column anew for each comparison."""
     lines = spark.createDataFrame([("chr10", 1, "c"), ("chr2", 5, "b"), ("chr2", 1, "a"), ("chrX", 1, "d")], "ref string, start1 int, line string")
