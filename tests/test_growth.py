@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom.functions import quantize
-from signalloom.operators import features, lookup, rangejoin, regions, variants
+from signalloom.operators import codec, features, lookup, rangejoin, regions, variants, windows
 from signalloom.sources import reports, sinks
 
 
@@ -109,3 +109,25 @@ def test_lines_are_sorted_by_columns(spark, tmp_path):
     order = next(x for x in plan(sorts, "optimizedPlan").splitlines() if "Sort [" in x)
     assert "regexp" not in order.lower() and "rlike" not in order.lower()
     assert [r["value"] for r in sorts.collect()] == ["head", "a", "b", "c", "d", "tail"]
+
+
+def test_rows_and_their_tiles_read_one_shuffle(spark):
+    """Otherwise rows are dealt once for their windows, once for summaries of tiles and once to meet these."""
+    spans = spark.createDataFrame([(f"chr{i % 7}", i // 7 * 3, i // 7 * 3 + 2 + i % 2, i % 5) for i in range(700)], "ref string, start1 int, end1 int, cov long")
+    for got in (windows.along(spans, ["ref"], "start1", before={"b": "cov"}, after={"n": "end1"}, sums={"s": "cov"}, tile=64), codec.segments(spans, quantize.percent(0.2), tile=64)):
+        assert got.count() == 700
+        got.collect()
+        assert "ReusedExchange" in plan(got)
+
+
+def test_null_and_empty_references_are_two(spark):
+    spans = spark.createDataFrame([(r, t, p, p + 1, p) for r in (None, "", "x") for t in (None, 0, 5) for p in range(0, 40, 2)], "ref string, track int, start1 int, end1 int, cov long")
+    got = windows.along(spans, ["track", "ref"], "start1", before={"b": "cov"}, after={"n": "start1"}, sums={"s": "cov"}, tile=8).collect()
+    assert len(got) == 180
+    for r in got:
+        p = r["start1"]
+        assert (r["b"], r["n"], r["s"], r["end1"]) == (p - 2 if p else None, p + 2 if p < 38 else None, sum(range(0, p + 1, 2)), p + 1)
+    assert {(r["track"], r["ref"]) for r in got} == {(t, r) for t in (None, 0, 5) for r in (None, "", "x")}
+    runs = windows.with_runs(spans, ["track", "ref"], "start1", lambda a, b: b["cov"] % 4 == 0, before={"b": "cov"}, after={"n": "start1"}, tile=8).collect()
+    assert all((r["_run"], r["b"], r["n"]) == (r["start1"] // 4, r["start1"] - 2 if r["start1"] else None, r["start1"] + 2 if r["start1"] < 38 else None) for r in runs)
+    assert len(runs) == 180
