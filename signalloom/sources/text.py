@@ -12,7 +12,12 @@ from ..operators.signal import dense_to_spans, merged
 def _fields(spark: SparkSession, path: str, skip: str = "^(#|track|browser|$)") -> DataFrame:
     """Tab- or space-separated fields f of the lines that are no comment."""
     lines = spark.read.text(path).where(~F.col("value").rlike(skip))
-    return lines.select(F.split(F.regexp_replace("value", r"[\r\n]+$", ""), r"\t").alias("f"))
+    return lines.select(_once(F.split(F.regexp_replace("value", r"[\r\n]+$", ""), r"\t"), "f"))
+
+
+def _once(x, name: str):
+    """x as a column that is worked out once a row: filters above a generator do not repeat its expression."""
+    return F.inline(F.array(F.struct(x.alias(name))))
 
 
 def _at(i: int):
@@ -133,9 +138,11 @@ def reads_of(raw: DataFrame) -> DataFrame:
     flag = _at(1).cast("int")
     tags = F.expr("if(size(f) > 11, slice(f, 12, size(f) - 11), cast(array() as array<string>))")
     # of tags that are named twice the first counts, so a malformed line does not stop the job
-    pairs = F.transform(tags, lambda t: F.struct(F.split(t, ":")[0].alias("k"), F.regexp_extract(t, "^[^:]*:[^:]*:(.*)$", 1).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    tag_map = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"]))
+    all_names = F.transform(tags, lambda t: F.substring_index(t, ":", 1))
+    values = F.transform(tags, lambda t: F.regexp_extract(t, "^[^:]*:[^:]*:(.*)$", 1))
+    names = F.array_distinct(all_names)
+    firsts = F.transform(names, lambda k: F.element_at(values, F.array_position(all_names, k).cast("int")))
+    tag_map = F.map_from_arrays(names, F.when(F.size(names) == F.size(tags), values).otherwise(firsts))
     minus = flag.bitwiseAND(F.lit(16)) != 0
     second = flag.bitwiseAND(F.lit(128)) != 0
     steps = F.regexp_extract_all(_at(5), F.lit(r"(\d+[MIDNSHP=X])"))
@@ -162,7 +169,8 @@ def read_blocks(reads: DataFrame, weight_by_x0: bool = False) -> DataFrame:
     if weight_by_x0:
         x0 = F.col("tags")["X0"].try_cast("double")
         w = F.when(x0 > 0, 1 / x0).otherwise(1.0)
-    return reads.select("ref", F.explode("blocks").alias("b"), w.alias("weight")).select("ref", "b.start1", "b.end1", "weight")
+    made = reads.select("ref", w.alias("weight"), _once(F.col("blocks"), "blocks"))
+    return made.select("ref", F.explode("blocks").alias("b"), "weight").select("ref", "b.start1", "b.end1", "weight")
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -173,17 +181,24 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return long.select(prefixed(F.regexp_extract("at", r"^(.*):\d+$", 1)).alias("ref"), F.regexp_extract("at", r":(\d+)$", 1).cast("int").alias("pos"), "x.track", F.col("x.cov").try_cast("double").alias("cov"))
 
 
+def filtered_blocks(reads: DataFrame, read_filter=None, weight_by_x0: bool = False) -> DataFrame:
+    """read_blocks of the reads that a filter keeps; tags are read once for all its conditions."""
+    from ..operators.filters import read_filter as compiled
+
+    kept = reads.select(*[c for c in reads.columns if c != "tags"], _once(F.col("tags"), "tags")).where(compiled(read_filter))
+    return read_blocks(kept, weight_by_x0)
+
+
 def read_signal(spark: SparkSession, path: str, scale: float = 1.0, read_filter=None, weight_by_x0: bool = False) -> DataFrame:
     """Spans from a file, by its extension: sam, bam, wig, vcf, gvcf or gz; all else is three columns."""
-    from ..operators.filters import read_filter as compiled
     from ..operators.signal import pileup
 
     name = path.lower().rstrip("/")
     if name.endswith((".sam", ".bam")):
         from .bam import read_bam
 
-        kept = (read_sam if name.endswith(".sam") else read_bam)(spark, path).where(compiled(read_filter))
-        blocks = read_blocks(kept, weight_by_x0)
+        reads = (read_sam if name.endswith(".sam") else read_bam)(spark, path)
+        blocks = filtered_blocks(reads, read_filter, weight_by_x0)
         return pileup(blocks, weight=F.col("weight") if weight_by_x0 else None)
     if name.endswith((".vcf", ".gz", ".gvcf")):
         return read_gvcf(spark, path, scale)

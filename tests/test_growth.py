@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import quantize
 from signalloom.operators import codec, features, lookup, rangejoin, regions, variants, windows
-from signalloom.sources import reports, sinks
+from signalloom.sources import reports, sinks, text
 
 
 def plan(df, kind="executedPlan"):
@@ -131,3 +131,15 @@ def test_null_and_empty_references_are_two(spark):
     runs = windows.with_runs(spans, ["track", "ref"], "start1", lambda a, b: b["cov"] % 4 == 0, before={"b": "cov"}, after={"n": "start1"}, tile=8).collect()
     assert all((r["_run"], r["b"], r["n"]) == (r["start1"] // 4, r["start1"] - 2 if r["start1"] else None, r["start1"] + 2 if r["start1"] < 38 else None) for r in runs)
     assert len(runs) == 180
+
+
+def test_a_line_of_reads_is_taken_apart_once(spark, tmp_path):
+    path = str(tmp_path / "a.sam")
+    with open(path, "w") as f:
+        f.write("@HD\tVN:1\nr\t0\t1\t10\t9\t3M2D4M\t*\t0\t0\t*\t*\tNM:i:2\tX0:i:2\tNM:i:9\tBC:Z:a:b\tQ\nr\t16\t1\t20\t9\t5M\t*\t0\t0\t*\t*\tNM:i:8\nr\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n")
+    reads = text.read_sam(spark, path)
+    assert [r["tags"] for r in reads.orderBy("pos").collect()] == [{"NM": "2", "X0": "2", "BC": "a:b", "Q": ""}, {"NM": "8"}]
+    blocks = text.filtered_blocks(reads, "FLAGS^^1024;NM<8;NM>1", True)
+    assert sorted(tuple(r) for r in blocks.collect()) == [("chr1", 10, 13, 0.5), ("chr1", 15, 19, 0.5)]
+    p = plan(blocks, "optimizedPlan")
+    assert (p.count("map_from_arrays("), p.count("split("), p.count("regexp_extract_all(")) == (1, 1, 1)
