@@ -13,12 +13,36 @@ from .regions import in_regions
 
 def _totals(intervals: DataFrame, spans: DataFrame, by: Sequence[str] = (), width: int = BIN) -> DataFrame:
     """(ref, lo, hi, by, total, covered): sum of coverage and bases with coverage in each different interval(ref, lo, hi)
-    that spans meet."""
-    hit = overlaps(spans, intervals.select("ref", "lo", "hi").distinct(), width=width)
-    return hit.groupBy("ref", "lo", "hi", *by).agg(
-        F.sum(F.col("cov").cast("double") * F.col("overlap")).alias("total"),
-        F.sum(F.when(F.col("cov") > 0, F.col("overlap")).otherwise(0)).cast("long").alias("covered"),
-    )
+    that spans meet.
+
+    An interval of more than `width` positions meets spans at its two ends only; in between it takes the sums of whole bins. So
+    its cost is bounded by its ends and its bins, however many spans and other intervals lie in it.
+    """
+    f = intervals.where("hi > lo").select("ref", "lo", "hi").distinct()
+    size, first, last = F.col("hi") - F.col("lo"), F.ceil(F.col("lo") / width), F.floor(F.col("hi") / width)
+    part = lambda a, z: F.struct(a.cast("long").alias("a"), z.cast("long").alias("z"))
+    lo, hi = F.col("lo"), F.col("hi")
+    ends = F.when(size <= width, F.array(part(lo, hi))).otherwise(F.array(part(lo, first * width), part(last * width, hi)))
+    at_ends = f.select("ref", "lo", "hi", F.explode(ends).alias("e")).select("ref", "lo", "hi", "e.a", "e.z")
+    near = overlaps(spans, at_ends, b_range=("a", "z"), width=width)
+    inside = f.where(size > width).select("ref", "lo", "hi", first.alias("a"), last.alias("z"))
+    far = overlaps(_bins(spans, by, width), inside, b_range=("a", "z"), width=width)
+    keys = ["ref", "lo", "hi", *by]
+    hit = near.select(*keys, *_sums(F.col("overlap"))).unionByName(far.select(*keys, "total", "covered"))
+    return hit.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
+
+
+def _sums(n):
+    """Sum of coverage over n bases, and those of them that have coverage."""
+    return (F.col("cov").cast("double") * n).alias("total"), F.when(F.col("cov") > 0, n).otherwise(0).cast("long").alias("covered")
+
+
+def _bins(spans: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """(by, ref, start1, end1, total, covered): sums of each bin of `width` positions that spans meet; it is one position, start1."""
+    cut = spans.where("end1 > start1").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start1") / width), F.floor((F.col("end1") - 1) / width))))
+    n = F.least(F.col("end1"), (F.col("_bin") + 1) * width) - F.greatest(F.col("start1"), F.col("_bin") * width)
+    sums = cut.select(*by, "ref", "_bin", *_sums(n)).groupBy(*by, "ref", "_bin").agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
+    return sums.select(*by, "ref", F.col("_bin").alias("start1"), (F.col("_bin") + 1).alias("end1"), "total", "covered")
 
 
 def coverage_per_feature(features: DataFrame, spans: DataFrame, by: Sequence[str] = (), key: str = "feature_id", width: int = BIN) -> DataFrame:

@@ -79,6 +79,55 @@ def test_features_on_the_same_bases_share_their_sums(spark):
     assert {(r["covered"], r["share"]) for r in got.collect()} == {(1, 1.0)}
 
 
+def test_long_nested_features_meet_spans_at_their_ends_only(spark, monkeypatch):
+    met = []
+
+    def counted(*args, **more):
+        out = rangejoin.overlaps(*args, **more)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(features, "overlaps", counted)
+    f = spark.range(200).select(F.col("id").alias("feature_id"), F.lit("chr1").alias("ref"), F.col("id").cast("int").alias("start0"), (F.col("id") + 2000).cast("int").alias("end0"))
+    got = {r["feature_id"]: r["mean_cov"] for r in features.coverage_per_feature(f, steps(spark), width=64).collect()}
+    assert got == pytest.approx({n: sum(p % 7 for p in range(n + 1, n + 2001)) / 2000 for n in range(200)})
+    assert sum(met) < 200 * (2 * 64 + 2000 // 64)  # 400,000 pairs of a feature and a span
+
+
+@pytest.mark.parametrize("width", [7, 64])
+def test_features_of_all_lengths_by_track(spark, width):
+    rng = random.Random(width)
+    spans = []
+    for ref in ("a", "b", None):
+        for track in ("t", "u", None):
+            at = rng.randrange(-40, 30)
+            while at < 400:
+                end = at + rng.choice([0, 1, 2, 5, 70, 130])
+                spans.append((ref, track, at, end, rng.choice([0, 1, 3, None, 9])))
+                at = end + rng.choice([0, 0, 1, 90])
+    rows = [(n, rng.choice("ab"), at, at + rng.choice([-5, 0, 1, width - 1, width, width + 1, 2 * width, 90, 350, 800])) for n, at in enumerate(rng.choices(range(-90, 450), k=120))] + [(900, None, 5, 300), (901, "a", None, 9), (902, "a", 9, None)]
+    f = spark.createDataFrame(rows, "feature_id int, ref string, start0 int, end0 int")
+    s = spark.createDataFrame(spans, "ref string, track string, start1 int, end1 int, cov long")
+    want, bases = {}, {}
+    for n, ref, a, z in rows:
+        for q, track, lo, hi, cov in spans:
+            if None not in (a, z, ref) and ref == q and max(a + 1, lo) < min(z + 1, hi):
+                size = min(z + 1, hi) - max(a + 1, lo)
+                mine, touched = want.get((n, track), (0, False))
+                want[n, track] = (mine + (cov or 0) * size, touched or cov is not None)
+                bases[n] = bases.get(n, 0) + (size if (cov or 0) > 0 else 0)
+    size = {n: z - a for n, _, a, z in rows if None not in (a, z)}
+    got = {(r["feature_id"], r["track"]): r["mean_cov"] for r in features.coverage_per_feature(f, s, ("track",), width=width).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(t / size[k[0]]) if known else None) for k, (t, known) in want.items())
+    genes = f.where("end0 > start0 and ref is not null").withColumnRenamed("feature_id", "gene")
+    for r in features.coverage_per_gene(genes, s.drop("track"), width=width).collect():
+        n = r["gene"]
+        assert r["bases"] == size[n]
+        assert r["mean_cov"] == pytest.approx(sum(t for (m, _), (t, _) in want.items() if m == n) / size[n])
+        assert r["uncovered"] == pytest.approx(1 - bases.get(n, 0) / size[n])
+
+
 def test_points_that_share_a_position_are_looked_up_once(spark):
     v = spark.createDataFrame([(i, "chr1" if i % 5 else None, 7 if i % 3 else None) for i in range(30)], "id int, ref string, pos int")
     got = variants.annotated(v, steps(spark, 50))
