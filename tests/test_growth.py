@@ -1,14 +1,19 @@
 """Work that must not grow faster than its input: candidates of range joins, sort keys, shuffles."""
 
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from signalloom.functions import quantize
 from signalloom.operators import codec, features, lookup, rangejoin, regions, variants, windows
+from signalloom.plans import registry
 from signalloom.sources import reports, sinks, text
 
+from .oracle import TABLES, assert_same
+
 
 def plan(df, kind="executedPlan"):
     return getattr(df._jdf.queryExecution(), kind)().toString()
@@ -94,6 +99,29 @@ def test_long_nested_features_meet_spans_at_their_ends_only(spark, monkeypatch):
     assert sum(met) < 200 * (2 * 64 + 2000 // 64)  # 400,000 pairs of a feature and a span
 
 
+@pytest.mark.parametrize("name", ["feature_hist"])
+def test_pairs_of_a_query_do_not_grow_with_repeated_tables(spark, monkeypatch, tmp_path, name):
+    """Copies with shifted keys have the same days, and so the same bases: each is met once, whatever the number of copies."""
+    source, met = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"), []
+    for t in TABLES:
+        os.symlink(f"{source}/{t}.parquet", tmp_path / f"{t}.parquet")
+    for t, key in (("lineitem", "l_orderkey"), ("part", "p_partkey")):
+        os.unlink(tmp_path / f"{t}.parquet")
+        # starts of features are keys modulo 2400
+        duckdb.sql(f"COPY (SELECT * REPLACE ({key} + 240000 * n AS {key}) FROM '{source}/{t}.parquet', range(5) r(n)) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+
+    def counted(*args, **more):
+        out = rangejoin.overlaps(*args, **more)
+        met[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(features, "overlaps", counted)
+    for sf in (source, str(tmp_path)):
+        met.append(0)
+        assert_same(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf)
+    assert met[1] == met[0] > 0
+
+
 @pytest.mark.parametrize("width", [7, 64])
 def test_features_of_all_lengths_by_track(spark, width):
     rng = random.Random(width)
