@@ -99,7 +99,7 @@ def test_long_nested_features_meet_spans_at_their_ends_only(spark, monkeypatch):
     assert sum(met) < 200 * (2 * 64 + 2000 // 64)  # 400,000 pairs of a feature and a span
 
 
-@pytest.mark.parametrize("name", ["feature_hist"])
+@pytest.mark.parametrize("name", ["feature_hist", "coverage_per_gene"])
 def test_pairs_of_a_query_do_not_grow_with_repeated_tables(spark, monkeypatch, tmp_path, name):
     """Copies with shifted keys have the same days, and so the same bases: each is met once, whatever the number of copies."""
     source, met = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"), []
